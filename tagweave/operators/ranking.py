@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequence[Column],
                  bucket_order: Sequence[Column] | None = None, out: str = "idx",
-                 bucket_bound: int | None = None) -> DataFrame:
+                 bucket_bound: int | None = None, restart_on: int = 0) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order``.
 
     ``bucket`` is one or more columns that are a prefix of the order;
@@ -35,6 +35,8 @@ def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequen
     ascending, NULLs first). ``bucket_bound``, when the number of buckets is
     bounded by construction (e.g. 16^k hex prefixes), allows an explicit
     broadcast of the offset table; otherwise AQE picks the join by measured size.
+    ``restart_on=k`` makes positions restart at 0 for each value of the first
+    ``k`` bucket columns (per-group positions, e.g. per split or per epoch).
     """
     buckets = list(bucket) if isinstance(bucket, (list, tuple)) else [bucket]
     names = [f"_b{i}" for i in range(len(buckets))]
@@ -44,7 +46,8 @@ def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequen
     counts = with_b.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     # The bucket table is small (bounded by the number of buckets): the
     # un-partitioned window over it is the only single-task step.
-    running = Window.orderBy(*b_order).rowsBetween(Window.unboundedPreceding, -1)
+    running = (Window.partitionBy(*names[:restart_on]).orderBy(*b_order[restart_on:] or b_order)
+               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*names, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
     renamed = offsets.select(*[F.col(n).alias(n + "_o") for n in names], "_off")
     if bucket_bound is not None:
