@@ -1 +1,111 @@
-"""Named queries (filled in as operators land)."""
+"""Named chunking / span-corruption queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import SpanConfig
+from ..operators import spans as sp
+from ..operators.ranking import ordered_index
+from ..operators.tokenize import ids_text, tokenize_text
+from ..sources.tables import documents
+from .catalog import query
+from .q_vocab import TEXT_CTES, _vocab_sql, text_vocabulary
+
+CFG = SpanConfig()
+SEQ = sp.effective_seq_length(CFG.max_seq_length)
+CHUNK, TARGET = sp.input_and_target_lengths(SEQ, CFG.noise_density, CFG.mean_noise_span_length)
+NOISE, SPANS = sp.span_counts(CHUNK, CFG.noise_density, CFG.mean_noise_span_length)
+
+
+def chunk_table(spark, sf_dir):
+    vocab = text_vocabulary(spark, sf_dir)
+    tok = tokenize_text(documents(spark, sf_dir), vocab)
+    indexed = ordered_index(tok, "doc_id")
+    chunks = sp.group_chunks(indexed, "idx", "ids", CHUNK, CFG.group_rows, CFG.keep_short_chunks)
+    return vocab, chunks
+
+
+def _cuts(n_items: int, n_seg: int, purpose: str) -> str:
+    ranked = (f"list_sort(list_transform(range(1, {n_items}), lambda i: "
+              f"{{'h': md5('{CFG.seed}|{purpose}|' || key || '|' || CAST(i AS VARCHAR)), 'i': i}}))")
+    cuts = f"list_sort(list_transform({ranked}[1:{n_seg - 1}], lambda s: s.i))"
+    return f"list_concat([0], {cuts}, [{n_items}])"
+
+
+def _lengths(bounds: str, n_seg: int) -> str:
+    return f"list_transform(range(1, {n_seg + 1}), lambda k: {bounds}[k + 1] - {bounds}[k])"
+
+
+MLM_CTES = f"""
+doc_ids AS (SELECT doc_id, list(id ORDER BY pos, cpos) AS ids FROM dlook GROUP BY doc_id),
+didx AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM doc_ids),
+grp AS (SELECT idx // {CFG.group_rows} AS grp, flatten(list(ids ORDER BY idx)) AS flat
+        FROM didx GROUP BY idx // {CFG.group_rows}),
+grp_chunks AS (
+  SELECT grp, flat, unnest(range(len(flat) // {CHUNK})) AS chunk FROM grp WHERE len(flat) >= {CHUNK}
+),
+ch AS (
+  SELECT grp, chunk, CAST(grp AS VARCHAR) || '_' || CAST(chunk AS VARCHAR) AS key,
+         flat[chunk * {CHUNK} + 1 : (chunk + 1) * {CHUNK}] AS ids
+  FROM grp_chunks
+),
+bnds AS (
+  SELECT grp, chunk, ids, {_cuts(NOISE, SPANS, 'noise')} AS nb,
+         {_cuts(CHUNK - NOISE, SPANS, 'nonnoise')} AS cb
+  FROM ch
+),
+segs AS (
+  SELECT grp, chunk, ids, {_lengths('nb', SPANS)} AS nl, {_lengths('cb', SPANS)} AS cl FROM bnds
+),
+vsize AS (SELECT CAST(count(*) AS BIGINT) AS v FROM reg_b),
+offs AS (
+  SELECT *, list_transform(range(1, {SPANS} + 1), lambda k:
+           coalesce(list_sum(cl[1:k - 1]), 0) + coalesce(list_sum(nl[1:k - 1]), 0)) AS cs
+  FROM segs, vsize
+),
+built AS (
+  SELECT grp, chunk,
+    list_concat(flatten(list_transform(range(1, {SPANS} + 1), lambda k:
+        list_concat(ids[cs[k] + 1 : cs[k] + cl[k]], [v - k]))), [1]) AS input_ids,
+    list_concat(flatten(list_transform(range(1, {SPANS} + 1), lambda k:
+        list_concat([v - k], ids[cs[k] + cl[k] + 1 : cs[k] + cl[k] + nl[k]]))), [1]) AS labels
+  FROM offs
+)"""
+
+
+def _ids(expr: str) -> str:
+    return f"array_to_string(list_transform({expr}, lambda x: CAST(x AS VARCHAR)), ' ')"
+
+
+@query("mlm_chunks", _vocab_sql(f"""
+SELECT CAST(grp AS BIGINT) AS "group", CAST(chunk AS BIGINT) AS chunk,
+       {_ids('input_ids')} AS input_ids, {_ids('labels')} AS labels,
+       {_ids("list_concat([0], labels[1:len(labels) - 1])")} AS decoder_input_ids
+FROM built
+""", TEXT_CTES, MLM_CTES))
+def q_mlm_chunks(spark, sf_dir):
+    """Documents -> rule-B ids -> doc_id order -> groups of 1,000 rows cut into
+    chunks of the expanded length -> span corruption with sentinels, EOS and
+    decoder inputs (length-checked)."""
+    vocab, chunks = chunk_table(spark, sf_dir)
+    key = F.concat_ws("_", F.col("group").cast("string"), F.col("chunk").cast("string"))
+    out = sp.corrupt(chunks, CHUNK, CFG, vocab.rows, key)
+    return out.select(F.col("group").cast("long").alias("group"), F.col("chunk").cast("long"),
+                      ids_text("input_ids").alias("input_ids"), ids_text("labels").alias("labels"),
+                      ids_text("decoder_input_ids").alias("decoder_input_ids"))
+
+
+@query("mlm_group_lengths", _vocab_sql(f"""
+SELECT CAST(grp AS BIGINT) AS "group", CAST(len(flat) AS BIGINT) AS total_tokens,
+       CAST(len(flat) // {CHUNK} AS BIGINT) AS chunks
+FROM grp
+""", TEXT_CTES, MLM_CTES))
+def q_mlm_group_lengths(spark, sf_dir):
+    """Concatenated length per group of 1,000 documents and its chunk count."""
+    vocab = text_vocabulary(spark, sf_dir)
+    tok = tokenize_text(documents(spark, sf_dir), vocab)
+    indexed = ordered_index(tok, "doc_id")
+    return (indexed.groupBy(F.floor(F.col("idx") / CFG.group_rows).cast("long").alias("group"))
+            .agg(F.sum(F.size("ids")).cast("long").alias("total_tokens"))
+            .withColumn("chunks", F.floor(F.col("total_tokens") / CHUNK).cast("long")))

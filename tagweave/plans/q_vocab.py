@@ -37,12 +37,27 @@ def text_registry_b(spark, sf_dir):
     return vb.registry_b(spark, lab, words)
 
 
+_VOCABS: dict = {}
+
+
+def _memo(spark, sf_dir, kind, build):
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    if key not in _VOCABS:
+        _VOCABS[key] = build()
+    return _VOCABS[key]
+
+
 def tag_vocabulary(spark, sf_dir) -> vb.Vocabulary:
-    return tk.materialize_vocab(tag_registry_a(spark, sf_dir), PAD_TOKEN, UNK_TOKEN)
+    """Registry A of the corpus, materialised once per application."""
+    return _memo(spark, sf_dir, "a", lambda: tk.materialize_vocab(
+        tag_registry_a(spark, sf_dir), PAD_TOKEN, UNK_TOKEN))
 
 
 def text_vocabulary(spark, sf_dir) -> vb.Vocabulary:
-    return tk.materialize_vocab(text_registry_b(spark, sf_dir), PAD_TOKEN, UNK_TOKEN, EOS_TOKEN)
+    """Registry B of the text corpus, materialised once per application."""
+    return _memo(spark, sf_dir, "b", lambda: tk.materialize_vocab(
+        text_registry_b(spark, sf_dir), PAD_TOKEN, UNK_TOKEN, EOS_TOKEN))
 
 
 # ---------------------------------------------------------------- SQL side
