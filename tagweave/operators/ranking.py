@@ -86,3 +86,22 @@ def ordered_index(df: DataFrame, col: str, out: str = "idx", n_buckets: int = 10
     else: ``col`` should be a key), without a single-task sort."""
     return global_index(df, bucket=[quantile_bucket(df, col, n_buckets)],
                         order=[F.col(col)], out=out)
+
+
+def running_sum(df: DataFrame, order_col: str, value_col: str, out: str = "running",
+                block: int = 4096) -> DataFrame:
+    """Inclusive running sum of ``value_col`` in ``order_col`` order.
+
+    Two-level like :func:`global_index`: block sums, an exclusive running sum
+    over the (small) block table, then a window inside each block.
+    """
+    blk = F.floor(F.col(order_col) / block)
+    with_b = df.withColumn("_blk", blk)
+    sums = with_b.groupBy("_blk").agg(F.sum(value_col).alias("_s"))
+    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_blk").alias("_blk_o"),
+                          F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return (with_b.join(offsets, F.col("_blk") == F.col("_blk_o"))
+            .withColumn(out, F.col("_base") + F.sum(value_col).over(w))
+            .drop("_blk", "_blk_o", "_base"))
