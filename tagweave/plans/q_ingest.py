@@ -1 +1,95 @@
-"""Named queries (filled in as operators land)."""
+"""Named ingest queries: raw TSV shards -> files / tags tables.
+
+The raw shards are written once per application from the driver tables (a
+stand-in for the original dumps: the same 13 / 6 column layouts with a header
+line); the queries then run the whole ingest on them.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources import tsv
+from ..sources.tables import read_table, tag_corpus
+from .catalog import query
+from .oracle_sql import with_corpus
+
+SHARDS = ("2021", "2022")
+_RAW: dict = {}
+
+
+def _write_tsv(df, path):
+    (df.write.mode("overwrite").option("sep", "\t").option("header", "true")
+     .option("quote", "\u0000").option("escapeQuotes", "false").option("emptyValue", "")
+     .option("nullValue", "").csv(path))
+
+
+def raw_shards(spark, sf_dir) -> dict:
+    """Paths of the raw TSV shards (written once per application)."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key in _RAW:
+        return _RAW[key]
+    base = scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}")
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority",
+                        "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    files = orders.select(
+        F.col("o_orderpriority").alias("booru"), k.cast("string").alias("fid"),
+        F.concat(k.cast("string"), F.lit(".png")).alias("file_name"),
+        F.when(k % 97 == 0, F.lit("")).otherwise(F.md5(k.cast("string"))).alias("torr_md5"),
+        F.lower("o_orderstatus").alias("orig_ext"), F.lit("").alias("orig_md5"),
+        F.floor("o_totalprice").cast("string").alias("file_size"),
+        F.when(k % 13 == 0, F.lit("")).otherwise(F.concat(
+            (F.col("o_custkey") % 2048).cast("string"), F.lit("x"),
+            (k % 1536).cast("string"))).alias("size"),
+        *[F.lit("").alias(c) for c in ("jq", "torr_path", "tags_copyr", "tags_char", "tags_artist")],
+        F.when(k % 10 < 5, F.lit(SHARDS[0])).otherwise(F.lit(SHARDS[1])).alias("_shard"))
+    tags = tag_corpus(spark, sf_dir).tags
+    tag_rows = tags.select(
+        "booru", F.col("fid").cast("string").alias("fid"), "tag", F.lit("").alias("tag_id"),
+        F.col("tag_cat").cast("string").alias("tag_cat"), F.lit("").alias("danb_fr"),
+        F.when(F.col("fid") % 10 < 5, F.lit(SHARDS[0])).otherwise(F.lit(SHARDS[1])).alias("_shard"))
+    # One shard of the dumps repeats rows; its character rows appear twice here.
+    repeated = tag_rows.where((F.col("_shard") == SHARDS[1]) & (F.col("tag_cat") == "4"))
+    tag_rows = tag_rows.unionByName(repeated)
+    paths = {"files": {}, "tags": {}}
+    for shard in SHARDS:
+        fp, tp = f"{base}/{shard}_files.tsv", f"{base}/{shard}_tags.tsv"
+        _write_tsv(files.where(F.col("_shard") == shard).drop("_shard"), fp)
+        _write_tsv(tag_rows.where(F.col("_shard") == shard).drop("_shard"), tp)
+        paths["files"][shard], paths["tags"][shard] = fp, tp
+    _RAW[key] = paths
+    return paths
+
+
+@query("ingested_files", """
+SELECT o_orderpriority AS booru, o_orderkey AS fid,
+       CASE WHEN o_orderkey % 10 < 5 THEN '2021' ELSE '2022' END AS shard,
+       CAST(o_orderkey AS VARCHAR) || '.png' AS file_name,
+       CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE md5(CAST(o_orderkey AS VARCHAR)) END AS torr_md5,
+       lower(o_orderstatus) AS orig_ext, '' AS orig_md5,
+       CAST(floor(o_totalprice) AS BIGINT) AS file_size,
+       CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey % 2048 END AS INTEGER) AS img_width_torr,
+       CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_orderkey % 1536 END AS INTEGER) AS img_height_torr,
+       '' AS jq, '' AS torr_path, '' AS tags_copyr, '' AS tags_char, '' AS tags_artist
+FROM orders
+""")
+def q_ingested_files(spark, sf_dir):
+    """Two raw files shards -> files table: header skip, quote rule, shard
+    literal, lenient WxH split, integer coercion, bag union."""
+    paths = raw_shards(spark, sf_dir)["files"]
+    return tsv.ingest_files(spark, [(s, paths[s]) for s in SHARDS])
+
+
+@query("ingested_tags", with_corpus(body="""
+SELECT booru, fid, tag, CAST(NULL AS BIGINT) AS tag_id, tag_cat, '' AS danb_fr FROM tags
+"""))
+def q_ingested_tags(spark, sf_dir):
+    """Two raw tags shards (one with repeated rows) -> tags table with the key
+    made unique."""
+    paths = raw_shards(spark, sf_dir)["tags"]
+    return tsv.ingest_tags(spark, [paths[s] for s in SHARDS])
