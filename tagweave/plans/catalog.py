@@ -34,7 +34,7 @@ def query(name: str, oracle: Optional[str] = None):
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from . import q_tagstats, q_vocab, q_captions, q_spans, q_features, q_ingest  # noqa: F401
+    from . import q_tagstats, q_vocab, q_captions, q_spans, q_features, q_ingest, q_stream, q_subword  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
