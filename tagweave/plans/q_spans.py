@@ -27,10 +27,15 @@ def chunk_table(spark, sf_dir):
 
 
 def _cuts(n_items: int, n_seg: int, purpose: str) -> str:
-    ranked = (f"list_sort(list_transform(range(1, {n_items}), lambda i: "
-              f"{{'h': md5('{CFG.seed}|{purpose}|' || key || '|' || CAST(i AS VARCHAR)), 'i': i}}))")
-    cuts = f"list_sort(list_transform({ranked}[1:{n_seg - 1}], lambda s: s.i))"
-    return f"list_concat([0], {cuts}, [{n_items}])"
+    """Bounds [0, cuts..., n_items]; cuts drawn like Floyd's sampling of the
+    ``n_seg - 1`` cut points among the ``n_items - 1`` gaps."""
+    n, k = n_items - 1, n_seg - 1
+    u = (f"(('0x' || substr(md5('{CFG.seed}|{purpose}|' || key || '|' || CAST(j AS VARCHAR)), 1, 8))"
+         f"::UBIGINT / 4294967296.0)")
+    draws = f"list_transform(range({n - k + 1}, {n + 1}), lambda j: {{'j': j, 't': CAST(floor({u} * j) + 1 AS BIGINT)}})"
+    picked = (f"list_reduce({draws}, lambda acc, d: CASE WHEN list_contains(acc, d.t) "
+              f"THEN list_append(acc, d.j) ELSE list_append(acc, d.t) END, []::BIGINT[])")
+    return f"list_concat([0], list_sort({picked}), [{n_items}])"
 
 
 def _lengths(bounds: str, n_seg: int) -> str:
