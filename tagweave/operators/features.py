@@ -75,3 +75,9 @@ def captions_seen(per_batch: DataFrame, batch_col: str = "batch_id",
                   n_col: str = "n") -> DataFrame:
     """Running count of captions seen after each batch."""
     return running_sum(per_batch, batch_col, n_col, out="seen")
+
+
+def embedding_width(vocab_size: int, base_width: int = 512, base_vocab: int = 32100) -> int:
+    """Embedding width scaled to the vocabulary: ``ceil(base_width / base_vocab * V)`` (F16)."""
+    import math
+    return math.ceil(base_width / base_vocab * vocab_size)

@@ -133,3 +133,10 @@ def permutation_index(df: DataFrame, seed: int, epoch_col: str = "epoch", id_col
     ranked = global_index(keyed, bucket=[F.col(epoch_col), F.substring("_h", 1, 3)],
                           order=[F.col("_h"), F.col(id_col)], out=out, restart_on=1)
     return ranked.drop("_h")
+
+
+def wraparound(df: DataFrame, count: int, limit: int, pos: str = "pos") -> DataFrame:
+    """Endless repetition of a numbered set cut at ``limit`` rows (W9): the
+    running position without an epoch column."""
+    n_epochs = max(1, -(-limit // max(count, 1)))
+    return epochs(df, n_epochs, count, pos).where(F.col("run_pos") < limit).drop("epoch")

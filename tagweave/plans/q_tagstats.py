@@ -208,3 +208,15 @@ def q_files_without_tags(spark, sf_dir):
 
 
 __all__ = ["F"]
+
+
+@query("sql_view_general_prevalence_popular",
+       _blessed(_view_sql("SELECT t.tag, count(*) AS prevalence", "= 0",
+                          "GROUP BY t.tag HAVING count(*) > 30")))
+def q_sql_view_general_prevalence_popular(spark, sf_dir):
+    """The same view answered through Spark SQL temp views (views registered
+    over the stored corpus, queried by name)."""
+    from .views import register_views
+    c = _corpus(spark, sf_dir)
+    register_views(spark, c.files, c.tags, FIXTURE_FRANCHISES, prefix="tw_")
+    return spark.sql("SELECT tag, prevalence FROM tw_general_tag_prevalence_popular")

@@ -3,7 +3,7 @@
 The tag corpus (``files``, ``tags``, ``frame_counts``) is the data model of
 the pipeline. The driver ships TPC-H-like tables instead, so the corpus is
 derived from them with the same expressions the SQL oracle uses
-(``tagweave.plans.oracle.CORPUS_CTES``). The derivation only produces rows in
+(``tagweave.plans.oracle_sql.CORPUS_CTES``). The derivation only produces rows in
 the corpus schema; every operator downstream works on any data of that schema.
 """
 
