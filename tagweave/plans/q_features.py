@@ -123,3 +123,26 @@ def q_mlm_batches(spark, sf_dir):
 
 
 __all__ = ["INDEX_CTES", "LABEL_TOKENS_CTES", "CHUNK"]
+
+
+@query("chunk_epoch_batches", _vocab_sql(f"""
+SELECT CAST(epoch AS INTEGER) AS epoch, CAST(grp AS BIGINT) AS "group", CAST(chunk AS BIGINT) AS chunk,
+       CAST(run_pos // 10 AS BIGINT) AS batch_id,
+       CAST(min(epoch) OVER (PARTITION BY run_pos // 10) AS INTEGER) AS batch_epoch
+FROM (
+  SELECT e.epoch, c.grp, c.chunk, e.epoch * (SELECT count(*) FROM ch) + c.pos AS run_pos
+  FROM (SELECT grp, chunk, row_number() OVER (ORDER BY grp, chunk) - 1 AS pos FROM ch) c,
+       (SELECT range AS epoch FROM range(3)) e
+) x
+""", TEXT_CTES, MLM_CTES))
+def q_chunk_epoch_batches(spark, sf_dir):
+    """Three epochs of the chunks in order, batches of 10 over the running
+    position; a batch that straddles two epochs takes its first row's epoch (W8)."""
+    _, chunks = chunk_table(spark, sf_dir)
+    numbered = global_index(chunks.select("group", "chunk"),
+                            bucket=[F.col("group"), F.floor(F.col("chunk") / 4096)],
+                            order=[F.col("chunk")], out="pos")
+    count = numbered.count()
+    out = sp.epoch_batches(sp.epochs(numbered, 3, count), 10)
+    return out.select(F.col("epoch").cast("int"), F.col("group").cast("long"),
+                      F.col("chunk").cast("long"), "batch_id", F.col("batch_epoch").cast("int"))

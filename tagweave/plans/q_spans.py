@@ -20,7 +20,7 @@ NOISE, SPANS = sp.span_counts(CHUNK, CFG.noise_density, CFG.mean_noise_span_leng
 
 def chunk_table(spark, sf_dir):
     vocab = text_vocabulary(spark, sf_dir)
-    tok = tokenize_text(documents(spark, sf_dir), vocab)
+    tok = tokenize_text(documents(spark, sf_dir), vocab, with_tokens=False)
     indexed = ordered_index(tok, "doc_id")
     chunks = sp.group_chunks(indexed, "idx", "ids", CHUNK, CFG.group_rows, CFG.keep_short_chunks)
     return vocab, chunks
@@ -109,7 +109,7 @@ FROM grp
 def q_mlm_group_lengths(spark, sf_dir):
     """Concatenated length per group of 1,000 documents and its chunk count."""
     vocab = text_vocabulary(spark, sf_dir)
-    tok = tokenize_text(documents(spark, sf_dir), vocab)
+    tok = tokenize_text(documents(spark, sf_dir), vocab, with_tokens=False)
     indexed = ordered_index(tok, "doc_id")
     return (indexed.groupBy(F.floor(F.col("idx") / CFG.group_rows).cast("long").alias("group"))
             .agg(F.sum(F.size("ids")).cast("long").alias("total_tokens"))

@@ -255,7 +255,36 @@ def q_document_tokens(spark, sf_dir):
     """Rule-B tokenisation of whole documents (split on spaces) with the text
     vocabulary (registry B)."""
     vocab = text_vocabulary(spark, sf_dir)
-    out = tk.tokenize_text(documents(spark, sf_dir), vocab)
+    out = tk.tokenize_text(documents(spark, sf_dir), vocab, with_tokens=False)
     return out.select("doc_id", F.size("ids").alias("n_tokens"),
                       F.size(F.filter("ids", lambda x: x == vocab.unk_id)).alias("n_unknown"),
                       tk.ids_text("ids").alias("ids"))
+
+
+@query("vocab_sizes", _vocab_sql("""
+SELECT 'a' AS registry, CAST(count(*) AS BIGINT) AS vocab_size FROM reg_a
+UNION ALL SELECT 'b', CAST(count(*) + 100 AS BIGINT) FROM reg_b
+""", TEXT_CTES))
+def q_vocab_sizes(spark, sf_dir):
+    """Registry sizes (A26); registry B counts its extra ids once more, as its
+    size property does."""
+    a = vb.vocab_size(tag_registry_a(spark, sf_dir)).select(F.lit("a").alias("registry"), "vocab_size")
+    b = vb.vocab_size(text_registry_b(spark, sf_dir), 100).select(F.lit("b").alias("registry"),
+                                                                  "vocab_size")
+    return a.unionByName(b).select("registry", F.col("vocab_size").cast("long"))
+
+
+@query("registry_a_added_tokens", _vocab_sql("""
+SELECT id, token FROM reg_a
+UNION ALL
+SELECT CAST((SELECT max(id) FROM reg_a) + row_number() OVER (ORDER BY label) AS INTEGER), label
+FROM (SELECT DISTINCT label FROM glp WHERE prevalence >= 31) g
+WHERE label NOT IN (SELECT token FROM reg_a)
+"""))
+def q_registry_a_added_tokens(spark, sf_dir):
+    """Registry A extended with the whole general labels of prevalence >= 31
+    that it lacks; new ids follow the existing ones in token order (T6)."""
+    tags = tag_corpus(spark, sf_dir).tags
+    extra = (ts.label_prevalence(tags, general=True).where(F.col("prevalence") >= 31)
+             .select(F.col("label").alias("token")))
+    return vb.add_tokens(tag_registry_a(spark, sf_dir), extra).select("id", "token")
