@@ -11,11 +11,10 @@ from ..operators.captions import caption_feed
 from ..operators.ranking import global_index, ordered_index
 from ..sources.tables import read_table, tag_corpus
 from .catalog import query
-from .oracle_sql import with_corpus
 from .q_captions import CFG as CAP_CFG
-from .q_captions import INDEX_CTES, _captions_sql
-from .q_spans import CHUNK, MLM_CTES, chunk_table
-from .q_vocab import LABEL_TOKENS_CTES, TEXT_CTES, _vocab_sql, tag_vocabulary
+from .q_captions import _captions_sql
+from .q_spans import MLM_CTES, chunk_table
+from .q_vocab import TEXT_CTES, _vocab_sql, tag_vocabulary
 
 SPAN = SpanConfig()
 EVAL_BATCH = 8
@@ -122,8 +121,6 @@ def q_mlm_batches(spark, sf_dir):
                       F.col("chunk").cast("long"), F.col("perm").cast("long"), "batch_id", "host")
 
 
-__all__ = ["INDEX_CTES", "LABEL_TOKENS_CTES", "CHUNK"]
-
 
 @query("chunk_epoch_batches", _vocab_sql(f"""
 SELECT CAST(epoch AS INTEGER) AS epoch, CAST(grp AS BIGINT) AS "group", CAST(chunk AS BIGINT) AS chunk,

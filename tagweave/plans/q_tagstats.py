@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import quality, tagstats as ts
 from ..sources.tables import tag_corpus
 from .catalog import query
@@ -207,8 +205,6 @@ def q_files_without_tags(spark, sf_dir):
                                                 ["booru", "fid"], "left_anti")
 
 
-__all__ = ["F"]
-
 
 @query("sql_view_general_prevalence_popular",
        _blessed(_view_sql("SELECT t.tag, count(*) AS prevalence", "= 0",

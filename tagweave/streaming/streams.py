@@ -87,7 +87,7 @@ def examples_of_records(records: DataFrame, vocab: Vocabulary,
     """Caption records -> examples with the batch operators."""
     tags = records.select("booru", "fid", F.explode("tags").alias("t")).select(
         "booru", "fid", F.col("t.tag").alias("tag"), F.col("t.tag_cat").alias("tag_cat"))
-    labelled = cp.file_labels(tags, vocab)
+    labelled = cp.caption_candidates(tags, vocab, cfg)
     return cp.examples(cp.suitable_captions(labelled, vocab, cfg), cfg)
 
 
