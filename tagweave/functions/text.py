@@ -73,4 +73,6 @@ def file_key(booru, fid) -> Column:
 def lenient_int(c) -> Column:
     """awk ``%d`` coercion: leading integer of the text, 0 when there is none."""
     lead = F.regexp_extract(col_(c), r"^\s*([+-]?[0-9]+)", 1)
-    return F.coalesce(lead.try_cast("int"), F.lit(0))
+    # Only digit text reaches the cast (an empty match would take its slow
+    # failure path); out-of-range numbers still become NULL, then 0.
+    return F.coalesce(F.when(lead != "", lead).try_cast("int"), F.lit(0))

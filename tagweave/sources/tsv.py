@@ -72,9 +72,18 @@ def read_raw_tsv(spark: SparkSession, path: str, columns) -> DataFrame:
             .select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]))
 
 
+INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+
+
 def _int(c: str, kind: str = "long"):
-    # Integer affinity: numeric text becomes a number, anything else NULL here.
-    return F.col(c).try_cast(kind)
+    """Integer affinity: integer text becomes a number, anything else NULL.
+
+    The pattern guard keeps non-numbers (e.g. the many empty fields) away
+    from the cast, whose failure path is slow; ``try_cast`` still turns an
+    out-of-range number into NULL.
+    """
+    col = F.col(c)
+    return F.when(col.rlike(INTEGER_TEXT), col).try_cast(kind)
 
 
 def files_from_raw(raw: DataFrame, shard: str) -> DataFrame:
