@@ -91,3 +91,22 @@ def test_small_helpers(spark):
     wrap = sp.wraparound(spark.range(3).withColumnRenamed("id", "pos"), 3, 7)
     assert sorted(r["run_pos"] for r in wrap.collect()) == list(range(7))
     assert fe.embedding_width(32100) == 512 and fe.embedding_width(100) == 2
+
+
+def test_split_variants_offsets_steps_and_quality(spark):
+    from tagweave.config import CaptionConfig
+    from tagweave.operators import quality
+    from tagweave.operators import spans
+    idx = spark.range(50).withColumnRenamed("id", "idx")
+    rows = sp.assign_splits(idx, CaptionConfig(test_quantity=3, validation_pct=None)).collect()
+    assert {r["split"] for r in rows} == {"test", "train"}
+    assert sorted(r["split_idx"] for r in rows if r["split"] == "train") == list(range(47))
+    assert [r["idx"] for r in sp.files_from_nth(idx, 47).orderBy("idx").collect()] == [47, 48, 49]
+    assert spans.steps_per_run(100, 8, 3) == 36
+    df = spark.createDataFrame([("b", 1, "x", 2), ("b", 1, "x", 1), ("b", 2, "y", 0)],
+                               "booru string, fid long, tag string, tag_cat int")
+    kept = quality.dedup_on_key(df, ["booru", "fid", "tag"], [F.col("tag_cat")]).collect()
+    assert sorted((r["fid"], r["tag_cat"]) for r in kept) == [(1, 1), (2, 0)]
+    files = spark.createDataFrame([("b", 1)], "booru string, fid long")
+    assert [r["fid"] for r in quality.cascade_tags(df, files).collect()] == [1, 1]
+    assert [r["fid"] for r in quality.orphan_tags(df, files).collect()] == [2]
