@@ -49,13 +49,23 @@ def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequen
     running = (Window.partitionBy(*names[:restart_on]).orderBy(*b_order[restart_on:] or b_order)
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*names, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
-    renamed = offsets.select(*[F.col(n).alias(n + "_o") for n in names], "_off")
-    if bucket_bound is not None:
-        renamed = F.broadcast(renamed)
-    joined = with_b.join(renamed, _null_safe_on(names))
+
+    # Number rows inside their bucket first (the one shuffle of the big side,
+    # by bucket), then add the bucket offset: with non-null buckets the join
+    # key equals the window's partitioning, so only the small table moves.
     w = Window.partitionBy(*names).orderBy(*order)
-    return (joined.withColumn(out, F.col("_off") + F.row_number().over(w) - 1)
-            .drop(*names, *[n + "_o" for n in names], "_off"))
+    numbered = with_b.withColumn("_rn", F.row_number().over(w))
+    nullable = any(with_b.schema[n].nullable for n in names)
+    if nullable:
+        side = offsets.select(*[F.col(n).alias(n + "_o") for n in names], "_off")
+        if bucket_bound is not None:
+            side = F.broadcast(side)
+        joined = numbered.join(side, _null_safe_on(names)).drop(*[n + "_o" for n in names])
+    else:
+        side = F.broadcast(offsets) if bucket_bound is not None else offsets
+        joined = numbered.join(side, names)
+    return (joined.withColumn(out, F.col("_off") + F.col("_rn") - 1)
+            .drop(*names, "_off", "_rn"))
 
 
 def _null_safe_on(names):

@@ -23,8 +23,13 @@ MD5_PREFIX = 3  # 4,096 buckets (+ NULL); enough for ~1e10 rows at ~2.5M per buc
 def md5_index(files: DataFrame, prefix: int = MD5_PREFIX, out: str = "idx") -> DataFrame:
     """Position of each file in (torr_md5 NULLS FIRST, booru, fid) order."""
     md5 = F.col("torr_md5")
+    # NULL and '' share the first bucket (both sort before any other prefix;
+    # inside the bucket NULLs still come first), so buckets are non-null and
+    # the offset join reuses the bucket partitioning. For hex hashes there are
+    # at most 16^prefix + 1 buckets; the column is not validated as hex, so
+    # the offset table is broadcast by AQE's measured size, not by a hint.
     return global_index(
-        files, bucket=[F.substring(md5, 1, prefix)],
+        files, bucket=[F.coalesce(F.substring(md5, 1, prefix), F.lit(""))],
         order=[md5.asc_nulls_first(), F.col("booru").asc(), F.col("fid").asc()], out=out)
 
 
