@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequence[Column],
                  bucket_order: Sequence[Column] | None = None, out: str = "idx",
-                 bucket_bound: int | None = None, restart_on: int = 0) -> DataFrame:
+                 bucket_bound: int | None = None, restart_on: int = 0,
+                 non_null_buckets: bool = False) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order``.
 
     ``bucket`` is one or more columns that are a prefix of the order;
@@ -37,6 +38,9 @@ def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequen
     broadcast of the offset table; otherwise AQE picks the join by measured size.
     ``restart_on=k`` makes positions restart at 0 for each value of the first
     ``k`` bucket columns (per-group positions, e.g. per split or per epoch).
+    ``non_null_buckets`` is the caller's guarantee that no bucket is NULL even
+    where the schema allows it (e.g. after a checkpoint): the offsets then
+    join on the plain bucket columns, i.e. on the window's partitioning.
     """
     buckets = list(bucket) if isinstance(bucket, (list, tuple)) else [bucket]
     names = [f"_b{i}" for i in range(len(buckets))]
@@ -55,7 +59,7 @@ def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequen
     # key equals the window's partitioning, so only the small table moves.
     w = Window.partitionBy(*names).orderBy(*order)
     numbered = with_b.withColumn("_rn", F.row_number().over(w))
-    nullable = any(with_b.schema[n].nullable for n in names)
+    nullable = not non_null_buckets and any(with_b.schema[n].nullable for n in names)
     if nullable:
         side = offsets.select(*[F.col(n).alias(n + "_o") for n in names], "_off")
         if bucket_bound is not None:

@@ -87,10 +87,11 @@ def renumber(df: DataFrame, group: str = "split", order: str = "split_idx",
     """Dense 0-based position per ``group`` in ``order`` after rows were dropped.
 
     Two-level index with buckets ``(group, floor(order / 4096))`` restarting per
-    group: exact, and no single task holds a whole split.
+    group: exact, and no single task holds a whole split. ``group`` and
+    ``order`` must not be NULL (true for splits and in-split positions).
     """
     return global_index(df, bucket=[F.col(group), F.floor(F.col(order) / 4096)],
-                        order=[F.col(order)], out=out, restart_on=1)
+                        order=[F.col(order)], out=out, restart_on=1, non_null_buckets=True)
 
 
 def batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
@@ -136,7 +137,8 @@ def permutation_index(df: DataFrame, seed: int, epoch_col: str = "epoch", id_col
     h = hash_key(seed, F.col(epoch_col), F.col(id_col))
     keyed = df.withColumn("_h", h)
     ranked = global_index(keyed, bucket=[F.col(epoch_col), F.substring("_h", 1, 3)],
-                          order=[F.col("_h"), F.col(id_col)], out=out, restart_on=1)
+                          order=[F.col("_h"), F.col(id_col)], out=out, restart_on=1,
+                          non_null_buckets=True)
     return ranked.drop("_h")
 
 
