@@ -93,6 +93,18 @@ def from_row(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
+def hash_share(hashed: Column, share: Column) -> Column:
+    """True for about ``share`` (0 to 1) of the values of a 64-bit hash."""
+    return F.pmod(hashed, F.lit(1 << 30)) < share * float(1 << 30)
+
+
+def seeded_sample(df: DataFrame, hashed: Column, n: int) -> DataFrame:
+    """The ``n`` rows that hash lowest among a share of the rows that holds some 2n, so
+    that ordering them is work for 2n rows at any size of ``df``."""
+    share = min(1.0, 2.0 * n / max(1, df.count()))
+    return df.where(hash_share(hashed, F.lit(share))).orderBy(F.pmod(hashed, F.lit(1 << 30)), *df.columns).limit(n)
+
+
 class Stages:
     """Tables written to the shared folder to cut lineage: a lost executor makes
     Spark read a file again instead of redoing the job. ``drop`` removes tables

@@ -23,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_of_id
+from .common import crc_of_id, hash_share
 
-#: Characters learned per language, documents they come from, and languages, at most.
-SAMPLE_CHARS, SAMPLE_DOCS, LANGUAGES = 20_000, 200, 250
+#: Characters learned per language, and languages, at most.
+SAMPLE_CHARS, LANGUAGES = 20_000, 250
 #: Bits per character at which a language is e times less likely than the best.
 SHARPNESS = 0.15
 #: Bits per character behind the best at which a language's parse stops.
@@ -165,16 +165,22 @@ def _predict(batches: Iterator[pa.RecordBatch], samples, columns: list[str]) ->
                                          [*columns, "lang_pred", "score"])
 
 
-def learn_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> dict[str, str]:
-    """Sample text per language from ``labelled(doc_id, text, lang)``: documents in a
-    seeded order up to ``chars`` normalised characters. The most frequent
-    ``languages`` are learned. The window's rows are limited in each task first."""
-    rows = labelled.where("text is not null and lang is not null and doc_id is not null").select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "text")
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    some = rows.select("lang", "h", F.substring("text", 1, 2 * chars).alias("text")).withColumn("nth", nth).where(F.col("nth") <= docs).where(F.col("lang").isin(top))
+def learn_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
+    """Sample text per language from ``labelled(doc_id, text, lang)``: ``chars`` normalised
+    characters of documents in a seeded order. The most frequent ``languages`` are
+    learned. Per language the share of documents that holds some 8 * ``chars``
+    characters is chosen by a hash, so that much is collected per language."""
+    part = F.substring("text", 1, 2 * chars)
+    rows = (labelled.where("text is not null and lang is not null and doc_id is not null")
+            .select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "text"))
+    top = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(part)).alias("chars"))
+           .orderBy(F.desc("n"), "lang").limit(languages).collect())
+    if not top:
+        return {}
+    shares = F.create_map(*[F.lit(x) for lang, _, size in top for x in (lang, min(1.0, 8.0 * chars / max(1, size)))])
+    some = rows.where(F.col("lang").isin([r[0] for r in top])).where(hash_share(F.col("h"), F.element_at(shares, F.col("lang"))))
     out: dict[str, str] = {}
-    for lang, _, text, _ in sorted(some.collect(), key=lambda r: (r[0], r[1])):
+    for lang, _, text in sorted(some.select("lang", "h", part.alias("text")).collect()):
         if len(out.get(lang, "")) < chars:
             out[lang] = (out.get(lang, "") + normalise(text))[:chars]
     return {lang: text for lang, text in out.items() if text}

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import seeded_sample
+
 #: Documents learned from, at most.
 POSITIVES, UNLABELLED = 4000, 8000
 HIDDEN, STEPS, NETWORKS, RATE, MARGIN, SEED = 12, 250, 3, 0.02, 0.03, 20240601
@@ -175,12 +177,9 @@ def _learned(texts: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in rows]).reshape(-1, N_FEATURES)
 
 
-def learn(positives: DataFrame, unlabelled: DataFrame, n_positives: int = POSITIVES, n_unlabelled: int = UNLABELLED) -> PuModel:
-    """Fit on bounded samples, in a seeded order: ``positives(doc_id, text)`` and
-    ``unlabelled(doc_id, text)``."""
-    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("text")]
-    x_p = _learned(positives.orderBy(*order).limit(n_positives))
-    x_u = _learned(unlabelled.orderBy(*order).limit(n_unlabelled))
+def learn(positives: DataFrame, unlabelled: DataFrame) -> PuModel:
+    """Fit on the texts of two bounded samples."""
+    x_p, x_u = _learned(positives), _learned(unlabelled)
     # Rows arrive in any order; sorted, they give the same sums on every run.
     return fit(x_p[np.lexsort(x_p.T)], x_u[np.lexsort(x_u.T)])
 
@@ -194,7 +193,9 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold,
     trusted = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")
                .where(fold(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1"))
     # Ids first, so that only the sample's texts travel.
-    trusted = trusted.select("doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n_positives)
-    some = may.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id").limit(n_unlabelled)
-    model = spark.sparkContext.broadcast(learn(may.join(F.broadcast(trusted), "doc_id", "left_semi"), may.join(F.broadcast(some), "doc_id", "left_semi"), n_positives, n_unlabelled))
+    # Ids first, so that only the sample's texts travel.
+    trusted = seeded_sample(trusted.select("doc_id"), F.xxhash64(F.lit(SEED), "doc_id"), n_positives)
+    some = seeded_sample(may.select("doc_id"), F.xxhash64(F.lit(SEED + 1), "doc_id"), n_unlabelled)
+    texts = [may.join(F.broadcast(ids), "doc_id", "left_semi") for ids in (trusted, some)]
+    model = spark.sparkContext.broadcast(learn(*texts))
     return rows.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double")
