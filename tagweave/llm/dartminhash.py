@@ -13,10 +13,12 @@ make the document look at higher ranks. Two documents agree on a coordinate with
 the probability of their similarity.
 
 Copies of the same words are reduced to one document first. Bands of signature
-values are buckets; a bucket's smallest document is compared with each other one (a
-star, not all pairs), components follow, and a second pass compares those documents
-of a bucket that are still in different components, unless their distances to the
-bucket's smallest document rule out a link (Jaccard distance is a metric).
+values are buckets; the documents of a bucket are compared with a few pivots of it
+(stars, not all pairs) and components follow. Two more passes compare documents that
+share a bucket but no component yet, first those whose whole signatures agree as
+links do on average, then all that agree as links do but for 2 in 1,000. A pair is
+told once, by the first band it shares, and only pairs that pass are told at all.
+Every link is an exact comparison.
 
 Defined results: texts without words (null, empty) link with nothing; rows without
 ``doc_id`` are left out of the classes and come back alone, with a null class; rows
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Stages, WordHash, as_row, chunks, from_row, mix, shingles, signed, text_key
@@ -40,6 +42,10 @@ from .graph import connected_components
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 5: at similarity 0.8 a pair shares a band but for 7 in 100,000 cases.
 BANDS, ROWS = 24, 5
+#: Documents of a bucket that all others are compared with.
+PIVOTS = 4
+#: Spreads, around what a pair at the similarity bound agrees in, of the two later passes.
+PASSES = (0.0, -2.9)
 #: Darts in a unit square, by a Poisson law of mean 1: cumulative probabilities.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, n + 1)) for n in range(16)])
 #: Squares looked at in one numpy step.
@@ -102,6 +108,30 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+#: Signature values are kept as 4 bits each, 15 to a whole number.
+NIBBLES = 15
+_ONES = int("1" * NIBBLES, 16)
+
+
+def pack_nibbles(values: np.ndarray) -> np.ndarray:
+    """4 bits of each signature value, ``NIBBLES`` to a number."""
+    short = mix(values) & np.uint64(15)
+    short = np.pad(short, ((0, 0), (0, -short.shape[1] % NIBBLES))).reshape(len(short), -1, NIBBLES)
+    return (short << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def agreement(x: str, y: str, n_values: int) -> Column:
+    """How many of ``n_values`` kept values agree between two columns of packed ones."""
+    n = -(-n_values // NIBBLES)
+    out = F.lit(n * NIBBLES)
+    for i in range(n):
+        differ = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        differ = differ.bitwiseOR(F.shiftright(differ, 1))
+        differ = differ.bitwiseOR(F.shiftright(differ, 2))
+        out = out - F.bit_count(differ.bitwiseAND(F.lit(_ONES)))
+    return out - (n * NIBBLES - n_values)
+
+
 def _sign(batches: Iterator[pd.DataFrame], k: int, bands: int, rows_per_band: int) -> Iterator[pd.DataFrame]:
     cache = WordHash()
     for rows in batches:
@@ -109,11 +139,13 @@ def _sign(batches: Iterator[pd.DataFrame], k: int, bands: int, rows_per_band: in
         for a, b in chunks([len(t or "") for t in texts], 1 << 20):
             hashes = [cache.of(WORD.findall(t or "")) for t in texts[a:b]]
             digests = [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]
-            keys = signed(band_keys(signatures([shingles(h, k) for h in hashes], bands * rows_per_band), bands))
+            values = signatures([shingles(h, k) for h in hashes], bands * rows_per_band)
+            keys, nibbles = signed(band_keys(values, bands)), pack_nibbles(values)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             part = rows.iloc[a:b]
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "t1": part["t1"].to_numpy(), "t2": part["t2"].to_numpy(), "d1": halves[:, 0], "d2": halves[:, 1],
-                                "n": [len(h) for h in hashes], "keys": [x.tolist() if len(h) else [] for x, h in zip(keys, hashes)]})
+                                "n": [len(h) for h in hashes], "keys": [x.tolist() if len(h) else [] for x, h in zip(keys, hashes)],
+                                "nibbles": nibbles.tolist()})
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
@@ -154,34 +186,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, simi
     stages = Stages(spark, "neardup")
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")), "text")
     signs = stages.write(named.where("doc_id is not null").mapInPandas(
-        lambda batches: _sign(batches, k, bands, rows_per_band), "doc_id bigint, t1 bigint, t2 bigint, d1 bigint, d2 bigint, n bigint, keys array<bigint>"), "signs")
+        lambda batches: _sign(batches, k, bands, rows_per_band), "doc_id bigint, t1 bigint, t2 bigint, d1 bigint, d2 bigint, n bigint, keys array<bigint>, nibbles array<bigint>"), "signs")
     copies = (signs.where("n > 0").groupBy("d1", "d2")
-              .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+              .agg(F.min("doc_id").alias("rep"), F.min(F.struct("keys", "nibbles")).alias("s")).select("d1", "d2", "rep", "s.*"))
     copies = stages.write(copies, "copies")
-    rows = copies.select("rep", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").drop("last")
-    members = stages.write(rows.join(buckets, "key"), "members")
-    stars = stages.write(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    rows = copies.select("rep", F.posexplode("keys").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("key")
+    members = stages.write(rows.join(shared, "key", "left_semi"), "members")
+    # The window is limited in every task before rows meet.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
+    pivots = members.select("key", "rep").withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key", F.col("rep").alias("pivot"))
+    stars = (members.join(pivots, "key").where("rep <> pivot")
+             .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = stages.write(named.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "id", "left_semi"), "texts")
-    first = stages.write(compare_pairs(stars, texts, k).groupBy("a", "b").agg(F.max("sim").alias("sim")), "first")
-    links = first.where(F.col("sim") >= similar).select("a", "b")
-    parts = stages.write(connected_components(stages, links, "cc1"), "parts")
-    # What the stars left open: documents that share a bucket but no component.
-    placed = (members.where("rep <> pivot").join(first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "sim"), ["pivot", "rep"])
-              .join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
-              .select("key", "rep", "sim", F.coalesce("component", "rep").alias("component")))
-    placed = stages.write(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = stages.write(placed.join(open_keys, "key", "left_semi"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-                   & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - similar + 1e-9))
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    second = compare_pairs(rest, texts, k).where(F.col("sim") >= similar).select("a", "b")
-    all_links = stages.write(links.union(second), "links")
-    classes = stages.write(connected_components(stages, all_links, "cc2"), "classes")
-    stages.drop("texts", "members", "stars", "first", "parts", "placed", "open")
+
+    def linked(pairs, name):
+        return stages.write(compare_pairs(pairs, texts, k).where(F.col("sim") >= similar).select("a", "b").distinct(), name)
+
+    links = linked(stars, "links-0")
+    n_values = bands * rows_per_band
+    agree = similar + (1 - similar) / 16  # of a pair at the bound: equal values, or unequal ones with equal bits
+    spread = np.sqrt(n_values * agree * (1 - agree))
+    for i, spreads in enumerate(PASSES, 1):
+        parts = connected_components(stages, links, f"cc{i}").withColumnRenamed("vertex", "rep")
+        placed = stages.write(members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"placed-{i}")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        signed_members = copies.groupBy("rep").agg(F.min(F.struct("keys", "nibbles")).alias("s")).select("rep", "s.*")
+        some = stages.write(placed.join(mixed, "key", "left_semi").join(signed_members, "rep"), f"open-{i}")
+        x, y = some.alias("x"), some.alias("y")
+        least = int(np.ceil(n_values * agree + spreads * spread))
+        first_shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.col("x.band") + 1
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+                       & (agreement("x.nibbles", "y.nibbles", n_values) >= least) & first_shared)
+        more = linked(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), f"links-{i}")
+        links = links.union(more)
+        stages.drop(f"placed-{i}", f"open-{i}")
+    classes = stages.write(connected_components(stages, links, "cc"), "classes")
+    stages.drop("texts", "members")
     # Every row -> the representative of its words -> the class of that representative.
     owners = copies.select("d1", "d2", "rep").join(classes.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
     owners = stages.write(owners, "owners")
