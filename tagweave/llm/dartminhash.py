@@ -14,11 +14,10 @@ the probability of their similarity.
 
 Copies of the same words are reduced to one document first. Bands of signature
 values are buckets; the documents of a bucket are compared with a few pivots of it
-(stars, not all pairs) and components follow. Two more passes compare documents that
-share a bucket but no component yet, first those whose whole signatures agree as
-links do on average, then all that agree as links do but for 2 in 1,000. A pair is
-told once, by the first band it shares, and only pairs that pass are told at all.
-Every link is an exact comparison.
+(stars, not all pairs) and components follow. Then documents that share a bucket but no
+component yet are compared inside the join of the bucket: by their whole signatures,
+which agree as links do but for 2 in 1,000, once per pair, in the first band it
+shares, and then exactly. The join makes a row for a link only, not for a pair.
 
 Defined results: texts without words (null, empty) link with nothing; rows without
 ``doc_id`` are left out of the classes and come back alone, with a null class; rows
@@ -44,8 +43,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Documents of a bucket that all others are compared with.
 PIVOTS = 4
-#: Spreads, around what a pair at the similarity bound agrees in, of the two later passes.
-PASSES = (0.0, -2.9)
+#: Spreads below what a pair at the similarity bound agrees in, in the last pass.
+SPREADS = 2.9
 #: Darts in a unit square, by a Poisson law of mean 1: cumulative probabilities.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, n + 1)) for n in range(16)])
 #: Squares looked at in one numpy step.
@@ -170,6 +169,19 @@ def _compare(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
                            columns=["a", "b", "sim"])
 
 
+def _units(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The units of weight of each text: a hash per shingle and number of its occurrence,
+    so that sizes of plain sets give the weighted index."""
+    cache = WordHash()
+    for rows in batches:
+        out = []
+        for text in rows["text"]:
+            own = np.sort(shingles(cache.of(WORD.findall(text)), k))
+            first = np.searchsorted(own, own)
+            out.append(signed(mix(own ^ mix((np.arange(len(own)) - first).astype(np.uint64)))).tolist())
+        yield pd.DataFrame({"rep": rows["rep"], "units": out})
+
+
 def compare_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """``pairs(a, b)`` and ``texts(id, text)`` -> ``(a, b, sim)`` by exact comparison."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -208,20 +220,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, simi
     n_values = bands * rows_per_band
     agree = similar + (1 - similar) / 16  # of a pair at the bound: equal values, or unequal ones with equal bits
     spread = np.sqrt(n_values * agree * (1 - agree))
-    for i, spreads in enumerate(PASSES, 1):
-        parts = connected_components(stages, links, f"cc{i}").withColumnRenamed("vertex", "rep")
-        placed = stages.write(members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"placed-{i}")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        signed_members = copies.groupBy("rep").agg(F.min(F.struct("keys", "nibbles")).alias("s")).select("rep", "s.*")
-        some = stages.write(placed.join(mixed, "key", "left_semi").join(signed_members, "rep"), f"open-{i}")
-        x, y = some.alias("x"), some.alias("y")
-        least = int(np.ceil(n_values * agree + spreads * spread))
-        first_shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.col("x.band") + 1
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-                       & (agreement("x.nibbles", "y.nibbles", n_values) >= least) & first_shared)
-        more = linked(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), f"links-{i}")
-        links = links.union(more)
-        stages.drop(f"placed-{i}", f"open-{i}")
+    parts = connected_components(stages, links, "cc-stars").withColumnRenamed("vertex", "rep")
+    placed = stages.write(members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    some = stages.write(placed.join(mixed, "key", "left_semi"), "mixed")
+    reps = some.select("rep").distinct()
+    units = (texts.withColumnRenamed("id", "rep").join(reps, "rep", "left_semi")
+             .mapInPandas(lambda batches: _units(batches, k), "rep bigint, units array<bigint>"))
+    seen = copies.join(reps, "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("keys", "nibbles")).alias("s")).select("rep", "s.*")
+    some = stages.write(some.join(seen, "rep").join(units, "rep"), "open")
+    x, y = some.alias("x"), some.alias("y")
+    least = int(np.ceil(n_values * agree - SPREADS * spread))
+    first_shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.col("x.band") + 1
+    both = F.size(F.array_intersect("x.units", "y.units"))
+    exact = both / (F.size("x.units") + F.size("y.units") - both) >= similar
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+                  & (agreement("x.nibbles", "y.nibbles", n_values) >= least) & first_shared & exact)
+    links = links.union(stages.write(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "links-1"))
+    stages.drop("placed", "mixed", "open")
     classes = stages.write(connected_components(stages, links, "cc"), "classes")
     stages.drop("texts", "members")
     # Every row -> the representative of its words -> the class of that representative.
