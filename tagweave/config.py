@@ -62,7 +62,6 @@ POPULAR_LIST_MIN = 30         # "> 30" in the *_prevalence_popular views
 GENERAL_TOKEN_MIN = 31        # ">= 31" general-token threshold
 NAME_LABEL_MIN = 83           # ">= 83" name-label threshold
 SHORT_LABEL_MAX = 4           # labels of at most 4 characters are never split
-FRAME_NUMBERS = 69            # the number generator 0..68 of the frames build
 QUALIFIER_PATTERN = r"^(.*)_\(([^)]*?)\)$"
 DELIMITER_PATTERN = r"[-_]"
 COSPLAY = "cosplay"

@@ -20,7 +20,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (CAT_GENERAL, FRAME_NUMBERS, FRANCHISES, POPULAR_COUNT_MIN,
+from ..config import (CAT_GENERAL, FRANCHISES, POPULAR_COUNT_MIN,
                       POPULAR_LIST_MIN)
 from ..functions.text import ascii_lower
 
@@ -125,16 +125,15 @@ def order_prevalence(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("prevalence"), F.asc("label"))
 
 
-def frames(frame_counts: DataFrame, numbers: int = FRAME_NUMBERS) -> DataFrame:
+def frames(frame_counts: DataFrame) -> DataFrame:
     """One row per (file, frame number) with ``0 <= frame < frames``.
 
-    The theta join ``x < frames`` against the numbers 0..68 becomes a
+    The theta join ``x < frames`` against a list of numbers becomes a
     generator: ``sequence`` builds exactly the matching numbers per row, so no
-    nested-loop join and no shuffle.
+    nested-loop join, no shuffle and no longest file.
     """
-    top = F.least(F.col("frames"), F.lit(numbers))
     return (frame_counts.where(F.col("frames") > 0)
-            .select(*KEY, F.explode(F.sequence(F.lit(0), top - 1)).alias("frame")))
+            .select(*KEY, F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame")))
 
 
 def franchise_files(files: DataFrame, tags: DataFrame, franchises) -> DataFrame:

@@ -202,7 +202,7 @@ class Vocabulary:
     pad_id: int
     unk_id: int
     eos_id: int | None = None
-    rows: int | None = None   # row count once materialised; bounds a broadcast
+    rows: int | None = None   # row count once written
 
     @property
     def unk_token(self) -> str:

@@ -42,7 +42,7 @@ tags AS (
   ) t
 ),
 frame_counts AS (
-  SELECT o.o_orderpriority AS booru, l.l_orderkey AS fid, CAST(max(l.l_linenumber) AS INTEGER) AS frames
+  SELECT o.o_orderpriority AS booru, l.l_orderkey AS fid, CAST(sum(l.l_quantity) AS INTEGER) AS frames
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   GROUP BY o.o_orderpriority, l.l_orderkey
 )

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import quality
 from ..session import scratch_path
 from ..sources import tsv
 from ..sources.tables import read_table, tag_corpus
@@ -23,9 +24,9 @@ _RAW: dict = {}
 
 
 def _write_tsv(df, path):
-    (df.write.mode("overwrite").option("sep", "\t").option("header", "true")
-     .option("quote", "\u0000").option("escapeQuotes", "false").option("emptyValue", "")
-     .option("nullValue", "").csv(path))
+    line = F.concat_ws("\t", *df.columns).alias("\t".join(df.columns))
+    (df.select(line).write.mode("overwrite").option("sep", "\u0001").option("header", "true")
+     .option("quote", "\u0000").option("escapeQuotes", "false").csv(path))
 
 
 def raw_shards(spark, sf_dir) -> dict:
@@ -55,7 +56,14 @@ def raw_shards(spark, sf_dir) -> dict:
         F.when(F.col("fid") % 10 < 5, F.lit(SHARDS[0])).otherwise(F.lit(SHARDS[1])).alias("_shard"))
     # One shard of the dumps repeats rows; its character rows appear twice here.
     repeated = tag_rows.where((F.col("_shard") == SHARDS[1]) & (F.col("tag_cat") == "4"))
-    tag_rows = tag_rows.unionByName(repeated)
+    # Lines that the quote rule drops, one with the quote beyond the columns, and lines that
+    # repeat a key with a larger category, which lose against the first.
+    artists = tag_rows.where("tag_cat = '1'")
+    quoted = artists.withColumn("tag", F.concat(F.lit('"'), "tag"))
+    beyond = artists.withColumn("tag", F.concat("tag", F.lit("_seven"))).withColumn("danb_fr", F.lit('\tx"y'))
+    conflicting = tag_rows.where("tag_cat = '3'").withColumn("tag_cat", F.lit("9")).withColumn("danb_fr", F.lit("\tbeyond"))
+    for more in (repeated, quoted, beyond, conflicting):
+        tag_rows = tag_rows.unionByName(more)
     paths = {"files": {}, "tags": {}}
     for shard in SHARDS:
         fp, tp = f"{base}/{shard}_files.tsv", f"{base}/{shard}_tags.tsv"
@@ -93,3 +101,27 @@ def q_ingested_tags(spark, sf_dir):
     made unique."""
     paths = raw_shards(spark, sf_dir)["tags"]
     return tsv.ingest_tags(spark, [paths[s] for s in SHARDS])
+
+
+@query("raw_tag_key_duplicates", with_corpus(body="""
+SELECT booru, fid, tag,
+       CAST(1 + max(CASE WHEN tag_cat = 3 THEN 1 ELSE 0 END)
+            + max(CASE WHEN tag_cat = 4 AND fid % 10 >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS copies
+FROM tags WHERE tag_cat = 3 OR (tag_cat = 4 AND fid % 10 >= 5) GROUP BY booru, fid, tag
+"""))
+def q_raw_tag_key_duplicates(spark, sf_dir):
+    """Keys that the raw tags shards hold more than once."""
+    paths = raw_shards(spark, sf_dir)["tags"]
+    raw = tsv.ingest_tags(spark, [paths[s] for s in SHARDS], dedup=False)
+    return quality.duplicate_keys(raw, quality.TAG_KEY)
+
+
+@query("raw_orphan_tags", with_corpus(body="""
+SELECT booru, fid, tag, tag_cat FROM tags WHERE fid % 10 >= 5
+"""))
+def q_raw_orphan_tags(spark, sf_dir):
+    """Tags of both shards whose file the first files shard does not hold."""
+    paths = raw_shards(spark, sf_dir)
+    tags = tsv.ingest_tags(spark, [paths["tags"][s] for s in SHARDS])
+    files = tsv.ingest_files(spark, [(SHARDS[0], paths["files"][SHARDS[0]])])
+    return quality.orphan_tags(tags, files).select("booru", "fid", "tag", "tag_cat")

@@ -123,12 +123,9 @@ def q_name_label_prevalence(spark, sf_dir):
     return ts.label_prevalence(_corpus(spark, sf_dir).tags, general=False)
 
 
-_FRAMES_SQL = "WITH RECURSIVE " + with_corpus("""
-cnt(x) AS (SELECT 0 UNION ALL SELECT x + 1 FROM cnt WHERE x + 1 < 69)
-""", body="""
-SELECT f.booru, f.fid, CAST(c.x AS INTEGER) AS frame
-FROM frame_counts f INNER JOIN cnt c ON c.x < f.frames
-""")[len("WITH "):]
+_FRAMES_SQL = with_corpus(body="""
+SELECT booru, fid, CAST(unnest(range(frames)) AS INTEGER) AS frame FROM frame_counts
+""")
 
 
 @query("frames", _FRAMES_SQL)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale. AQE re-plans every exchange with real sizes:
 # it coalesces small shuffle partitions, splits skewed join partitions and
@@ -42,8 +43,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    if "SPARK_DRIVER_MEMORY" not in os.environ:
-        builder = builder.config("spark.driver.memory", "16g")
+    if master and master.startswith("local") and "SPARK_DRIVER_MEMORY" not in os.environ:
+        # A local master runs its tasks in the driver: half of the machine, 16 GB at most.
+        half = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // 2**31
+        builder = builder.config("spark.driver.memory", f"{max(1, min(16, half))}g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -51,18 +54,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS / object store)
-    folder and is used as is. Only when it is unset -- local runs and tests --
-    is a fresh scratch folder created.
+    folder and is used as is; a folder set with ``setCheckpointDir`` serves as
+    well. Where neither is set, a local master gets a fresh scratch folder and
+    any other one an error, since executors would not see the driver's disk.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf_dir:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tagweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf_dir)
     return conf_dir
@@ -74,6 +85,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def written_stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage, can be
+    pruned by column, and tells the planner its size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 

@@ -12,14 +12,27 @@ from ..operators.ranking import global_index
 EXTENSIONS = ("csv", "json", "txt")
 
 
-def check_data_args(train_file: str | None, dataset_name: str | None) -> None:
-    """A source must be given, and a file must have a known extension (M7)."""
-    if dataset_name is None and train_file is None:
-        raise ValueError("Need either a dataset name or a training file.")
-    if train_file is not None:
-        ext = train_file.rsplit(".", 1)[-1]
-        if ext not in EXTENSIONS:
-            raise ValueError("`train_file` should be a csv, a json or a txt file.")
+def check_data_args(train_file: str | None, dataset_name: str | None, validation_file: str | None = None) -> None:
+    """Some training source must be named, and files must have a known extension (M7)."""
+    if not (dataset_name or train_file):
+        raise ValueError("no training data: name a dataset or a file")
+    for role, path in (("training", train_file), ("validation", validation_file)):
+        if path is not None and path.rpartition(".")[2] not in EXTENSIONS:
+            raise ValueError(f"{role} file {path!r}: expected one of the extensions {', '.join(EXTENSIONS)}")
+
+
+def train_and_validation(spark: SparkSession, train_file: str, validation_file: str | None = None,
+                         validation_pct: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows: of two files, or the first ``validation_pct``
+    percent of the one file's rows and the rest."""
+    check_data_args(train_file, None, validation_file)
+    train = load_by_extension(spark, train_file)
+    if validation_file is not None:
+        return train, load_by_extension(spark, validation_file)
+    lines = train.withColumn("_mid", F.monotonically_increasing_id())  # in split and line order
+    numbered = global_index(lines, bucket=[F.shiftright("_mid", 33)], order=[F.col("_mid")], out="_idx").drop("_mid")
+    cut = train.count() * validation_pct // 100
+    return numbered.where(F.col("_idx") >= cut).drop("_idx"), numbered.where(F.col("_idx") < cut).drop("_idx")
 
 
 def load_by_extension(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def tags_from_lineitems(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
 
 
 def frame_counts_from_lineitems(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    per_order = lineitem.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("frames"))
+    per_order = lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("frames"))
     od = orders.select("o_orderkey", "o_orderpriority")
     return (per_order.join(od, per_order.l_orderkey == od.o_orderkey)
             .select(F.col("o_orderpriority").alias("booru"), F.col("l_orderkey").alias("fid"),
@@ -99,7 +99,7 @@ def derive_tag_corpus(spark: SparkSession, sf_dir: str) -> TagCorpus:
     """The corpus as a lazy plan over the driver tables."""
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
     lineitem = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-                          "l_linenumber")
+                          "l_quantity")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
     supplier = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")

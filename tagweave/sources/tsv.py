@@ -57,19 +57,15 @@ TAGS_SCHEMA = T.StructType([
 ])
 
 
-def _raw_schema(columns) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-
 def read_raw_tsv(spark: SparkSession, path: str, columns) -> DataFrame:
     """All fields as text; header skipped per file; no quote handling; lines
-    with a double quote dropped; empty fields kept as ''."""
-    df = (spark.read.option("sep", "\t").option("header", "true").option("quote", "\u0000")
-          .option("escape", "\u0000").option("mode", "PERMISSIVE")
-          .schema(_raw_schema(columns)).csv(path))
-    whole = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
-    return (df.where(~whole.contains('"'))
-            .select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]))
+    with a double quote anywhere dropped, fields beyond the columns included;
+    empty and missing fields kept as ''."""
+    lines = (spark.read.option("sep", "\u0001").option("header", "true").option("quote", "\u0000")
+             .option("escape", "\u0000").option("enforceSchema", "true").schema("line string").csv(path))
+    fields = F.split("line", "\t", -1)
+    return (lines.where(~F.col("line").contains('"'))
+            .select(*[F.coalesce(F.get(fields, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)]))
 
 
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
@@ -118,14 +114,19 @@ def ingest_tags(spark: SparkSession, paths: Iterable[str], dedup: bool = True) -
 
     The original removed *adjacent* duplicate lines of one shard; removing
     duplicates of the key everywhere is the superset that also satisfies the
-    primary key. It is a partial + final aggregate keyed by (booru, fid, tag),
-    so even a file with a huge number of repeated rows meets in one key only.
+    primary key. Of rows that differ in other columns the smallest in
+    (tag_id, tag_cat, danb_fr) stays, nulls first, whatever order they come in.
+    It is a partial + final aggregate keyed by (booru, fid, tag), so even a file
+    with a huge number of repeated rows meets in one key only.
     """
     out = None
     for path in paths:
         part = tags_from_raw(read_raw_tsv(spark, path, RAW_TAGS_COLUMNS))
         out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["booru", "fid", "tag"]) if dedup else out
+    if not dedup:
+        return out
+    first = out.groupBy("booru", "fid", "tag").agg(F.min(F.struct("tag_id", "tag_cat", "danb_fr")).alias("r"))
+    return first.select("booru", "fid", "tag", "r.*")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,

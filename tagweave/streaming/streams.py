@@ -8,14 +8,14 @@
   batch functions (``foreachBatch``). A micro-batch holds whole captions, so
   no cross-batch state or watermark is needed.
 
-Both read a file source and keep their stream checkpoint in the shared
-checkpoint folder, so a restarted query resumes exactly where it stopped.
+Both read a file source. The caller names the stream's checkpoint (by default
+beside the output), so a query that is started again goes on where it stopped,
+and every micro-batch writes a folder of its own number with overwrite, so a
+batch that runs twice after a failure leaves its rows once.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +24,6 @@ from ..config import CaptionConfig
 from ..functions.text import ascii_lower
 from ..operators import captions as cp
 from ..operators.tokenize import Vocabulary
-from ..session import scratch_path
 
 TAG_EVENT_SCHEMA = T.StructType([
     T.StructField("booru", T.StringType()),
@@ -44,15 +43,35 @@ CAPTION_RECORD_SCHEMA = T.StructType([
 ])
 
 
+#: Bytes of input files in a micro-batch, about.
+BYTES_PER_TRIGGER = 8 << 30
+
+
+def _source(spark: SparkSession, schema: T.StructType, source_dir: str, files_per_trigger: int | None) -> DataFrame:
+    """The file source, cut into micro-batches by bytes unless a number of files is given."""
+    reader = spark.readStream.schema(schema)
+    reader = (reader.option("maxBytesPerTrigger", BYTES_PER_TRIGGER) if files_per_trigger is None
+              else reader.option("maxFilesPerTrigger", files_per_trigger))
+    return reader.parquet(source_dir)
+
+
+def latest_result(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest complete result under ``out_dir``. A batch's folder appears with
+    Spark's commit, so a reader sees the last whole result at any time."""
+    results = spark.read.parquet(out_dir)
+    newest = results.agg(F.max("micro_batch")).first()[0]
+    return results.where(F.col("micro_batch") == newest).drop("micro_batch")
+
+
 def prevalence_stream(spark: SparkSession, source_dir: str, out_dir: str, general: bool | None,
-                      files_per_trigger: int = 1):
+                      files_per_trigger: int | None = None, checkpoint: str | None = None):
     """Start the growing-prevalence query; returns the StreamingQuery.
 
-    ``general`` True / False selects the category side (None: all rows). The
-    complete result of every trigger overwrites the table at ``out_dir``.
+    ``general`` True / False selects the category side (None: all rows). Each
+    trigger writes the complete result to ``out_dir/micro_batch=<id>``; read the
+    newest with :func:`latest_result`.
     """
-    rows = (spark.readStream.schema(TAG_EVENT_SCHEMA)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+    rows = _source(spark, TAG_EVENT_SCHEMA, source_dir, files_per_trigger)
     if general is True:
         rows = rows.where(F.col("tag_cat") == 0)
     elif general is False:
@@ -60,11 +79,11 @@ def prevalence_stream(spark: SparkSession, source_dir: str, out_dir: str, genera
     counts = (rows.groupBy(ascii_lower("tag").alias("label"))
               .agg(F.count(F.lit(1)).alias("prevalence")))
 
-    def publish(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/micro_batch={batch_id}")
 
     return (counts.writeStream.outputMode("complete").foreachBatch(publish)
-            .option("checkpointLocation", scratch_path(spark, f"stream-prev-{uuid.uuid4().hex[:8]}"))
+            .option("checkpointLocation", checkpoint or f"{out_dir}-checkpoint")
             .trigger(availableNow=True).start())
 
 
@@ -92,15 +111,18 @@ def examples_of_records(records: DataFrame, vocab: Vocabulary,
 
 
 def caption_example_stream(spark: SparkSession, source_dir: str, out_dir: str, vocab: Vocabulary,
-                           cfg: CaptionConfig = CaptionConfig(), files_per_trigger: int = 1):
-    """Start the caption-record -> example query (append per micro-batch)."""
-    records = (spark.readStream.schema(CAPTION_RECORD_SCHEMA)
-               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+                           cfg: CaptionConfig = CaptionConfig(), files_per_trigger: int | None = None,
+                           checkpoint: str | None = None):
+    """Start the caption-record -> example query: ``out_dir/micro_batch=<id>`` per batch."""
+    records = _source(spark, CAPTION_RECORD_SCHEMA, source_dir, files_per_trigger)
 
     def convert(batch: DataFrame, batch_id: int) -> None:
-        out = examples_of_records(batch, vocab, cfg).withColumn("micro_batch", F.lit(batch_id))
-        out.write.mode("append").parquet(out_dir)
+        batch.persist()  # labels, totals and candidates each read it
+        try:
+            examples_of_records(batch, vocab, cfg).write.mode("overwrite").parquet(f"{out_dir}/micro_batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (records.writeStream.foreachBatch(convert)
-            .option("checkpointLocation", scratch_path(spark, f"stream-cap-{uuid.uuid4().hex[:8]}"))
+            .option("checkpointLocation", checkpoint or f"{out_dir}-checkpoint")
             .trigger(availableNow=True).start())

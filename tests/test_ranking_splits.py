@@ -44,7 +44,7 @@ def test_frames_golden(spark):
                                "booru string, fid long, frames int")
     out = ts.frames(fc)
     assert out.where("fid < 4").count() == 43
-    assert out.where("fid = 4").count() == 69
+    assert out.where("fid = 4").count() == fc.where("fid = 4").first()["frames"] > 69
     assert out.agg(F.min("frame")).collect()[0][0] == 0
 
 
