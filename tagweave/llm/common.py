@@ -30,7 +30,7 @@ def lower_word(word: str) -> str:
 class WordHash(dict):
     """64-bit hash of the lower-cased word, remembered for up to ``LIMIT`` words."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 19
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

@@ -143,40 +143,51 @@ class TokenReader:
 
 class WordEncoder:
     """Encodes whole texts with a tokenizer whose pre-tokeniser never joins words
-    across a space or line feed, so that a word's ids can be remembered (up to
-    ``limit`` words). ``by_word=False`` hands whole texts to the tokenizer."""
+    across a space or line feed, so that a word's ids can be remembered: up to two
+    generations of ``limit`` words, of which the older goes when the newer is full.
+    ``by_word=False`` hands whole texts to the tokenizer."""
 
-    def __init__(self, path: str, end_id: int, by_word: bool = True, limit: int = 300_000):
+    def __init__(self, path: str, end_id: int, by_word: bool = True, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.end_id, self.by_word, self.limit, self.known = end_id, by_word, limit, {}
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.by_word, self.limit, self.known, self.older = by_word, limit, {}, {}
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array([*e.ids, self.end_id], np.uint32) for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+            found = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
+            return [np.frombuffer(np.array(e.ids, "<u4").tobytes() + self.end, "<u4") for e in found]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-            fresh = list({w for words in split for w in words})
-        for word, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.known[word] = e.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for one in map(self.known.__getitem__, words):
-                ids += one
-            ids.append(self.end_id)
-            out.append(np.array(ids, np.uint32))
-        return out
+        if len(self.known) >= self.limit:
+            self.known, self.older = {}, self.known
+        known, fresh = self.known, []
+        for word in {w for words in split for w in words} - known.keys():
+            if (ids := self.older.get(word)) is None:
+                fresh.append(word)
+            else:
+                known[word] = ids
+        for word, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            known[word] = np.array(e.ids, "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4") for words in split]
+
+
+_ENCODERS: dict = {}
+
+
+def _encoder(*key) -> WordEncoder:
+    """Loaded once per Python worker, which runs many tasks."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
 def _write(batches: Iterator[pd.DataFrame], folder: str, tokenizer: str, end_id: int, by_word: bool) -> Iterator[pd.DataFrame]:
     task = TaskContext.get()
-    encoder = WordEncoder(tokenizer, end_id, by_word)
+    encoder = _encoder(tokenizer, end_id, by_word)
     name = f"{folder}/part-{task.partitionId():08d}.tok"
     writer = TokenWriter(name, max(encoder.vocabulary, end_id + 1), str(task.taskAttemptId()))
     for rows in batches:
