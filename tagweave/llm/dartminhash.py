@@ -28,6 +28,7 @@ rows; columns other than ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -228,14 +229,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, simi
     units = (texts.withColumnRenamed("id", "rep").join(reps, "rep", "left_semi")
              .mapInPandas(lambda batches: _units(batches, k), "rep bigint, units array<bigint>"))
     seen = copies.join(reps, "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("keys", "nibbles")).alias("s")).select("rep", "s.*")
-    some = stages.write(some.join(seen, "rep").join(units, "rep"), "open")
+    some = stages.write(some.join(seen, "rep").join(units, "rep").withColumn("n", F.size("units")), "open")
     x, y = some.alias("x"), some.alias("y")
     least = int(np.ceil(n_values * agree - SPREADS * spread))
     first_shared = F.array_position(F.zip_with("x.keys", "y.keys", lambda p, q: p == q), True) == F.col("x.band") + 1
-    both = F.size(F.array_intersect("x.units", "y.units"))
-    exact = both / (F.size("x.units") + F.size("y.units") - both) >= similar
+    # Each costly expression occurs once: Spark takes repeated ones out of a condition and
+    # would work out the intersection for every pair, before the cheap tests.
+    share = Fraction(similar).limit_denominator(1000)
+    p, q = share.numerator, share.denominator
+    near_size = q * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")
+    exact = F.size(F.array_intersect("x.units", "y.units")) * (p + q) >= p * (F.col("x.n") + F.col("y.n"))
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-                  & (agreement("x.nibbles", "y.nibbles", n_values) >= least) & first_shared & exact)
+                  & near_size & (agreement("x.nibbles", "y.nibbles", n_values) >= least) & first_shared & exact)
     links = links.union(stages.write(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "links-1"))
     stages.drop("placed", "mixed", "open")
     classes = stages.write(connected_components(stages, links, "cc"), "classes")
