@@ -3,13 +3,14 @@
 Each benchmark item is cut into windows of ``window`` words (a shorter item is one
 window). A window is contained in a document where all its shingles occur in order,
 so any one of its shingles is a necessary prefix token; the one that is rarest in
-the corpus is joined. Positions then bound the window (its start and end must lie
-in the document) and the words themselves are compared.
+the passages found is joined. Positions then bound the window (its start and end must
+lie in the passage) and the words themselves are compared.
 
-The corpus is read twice, each time against a Bloom filter of bounded size: once to
-count the items' shingles (summed per task), once to find the prefix tokens, with
-the words around them. Only these find their way into the join; a token in very
-many documents is split by Spark's skew join.
+The corpus is read once, against a Bloom filter of bounded size over the items'
+shingles. A window needs as many shingles in a row as it has, which bounds the length
+of a passage: shorter runs are dropped, the others are written with their words in
+pieces of bounded size. Rarity is counted and prefix tokens are looked up there. A
+token in very many documents is split by Spark's skew join.
 
 Defined results: null text or text without words has no hits; items with a null id
 or without words are passed over; rows repeating a ``doc_id`` are each answered by
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import WORD, Bloom, Stages, WordHash, as_row, from_row, lower_word, shingles, signed, text_key
 
 WINDOW, SHINGLE = 10, 3
+#: Shingles of a run that are kept together, so that a long passage is many small rows.
+PIECE = 64
+_PIECES = "tokens:array<bigint>,pos:int,left:int,words:array<string>"
 
 
 def _windows(batches: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd.DataFrame]:
@@ -60,52 +64,62 @@ def _flat(texts, cache: WordHash):
     return words, cache.of(words), np.array(starts)
 
 
-def _hits(hashes: np.ndarray, starts: np.ndarray, k: int, bloom: Bloom):
-    """Positions and hashes of the shingles of ``k`` words that pass the filter and
-    lie within one text."""
+def _runs(hashes: np.ndarray, starts: np.ndarray, k: int, least: int, bloom: Bloom):
+    """Stretches ``(text, first, after, tokens)`` of ``least`` or more shingles of ``k``
+    words in a row that pass the filter within one text, by the positions of their first words."""
     if len(hashes) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return
     tokens = shingles(hashes, k)
     at = np.flatnonzero(bloom.has(tokens))
     text = np.searchsorted(starts, at, "right") - 1
-    at = at[at + k <= starts[text + 1]]
-    return at, tokens[at]
-
-
-def _count(batches, sizes, bloom):
-    cache = WordHash()
-    for rows in batches:
-        _, hashes, starts = _flat(rows["text"], cache)
-        found = np.concatenate([_hits(hashes, starts, k, bloom.value)[1] for k in sizes])
-        token, n = np.unique(found, return_counts=True)
-        yield pd.DataFrame({"token": signed(token), "n": n.astype(np.int64)})
-
-
-def _locate(batches, sizes, bloom, window):
+    inside = at + k <= starts[text + 1]
+    at, text = at[inside], text[inside]
+    breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(text) != 0)) + 1
+    begins, ends = np.r_[0, breaks], np.r_[breaks, len(at)]
+    for i in np.flatnonzero(ends - begins >= least).tolist():
+        first, after = int(at[begins[i]]), int(at[ends[i] - 1]) + 1
+        yield int(text[begins[i]]), first, after, tokens[first:after]
+
+
+def _locate(batches, least: dict[int, int], bloom, window: int):
+    """Per text its word count and its pieces: up to ``PIECE`` shingles in a row with the
+    words of their run that windows at them can cover."""
     cache = WordHash()
     for rows in batches:
         words, hashes, starts = _flat(rows["text"], cache)
         out: list[list[dict]] = [[] for _ in range(len(rows))]
-        for k in sizes:
-            at, token = _hits(hashes, starts, k, bloom.value)
-            for p, t, i in zip(at.tolist(), signed(token).tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
-                a, b = max(int(starts[i]), p - window + 1), min(int(starts[i + 1]), p + window)
-                out[i].append({"token": t, "pos": p - int(starts[i]), "left": p - a, "around": [lower_word(w) for w in words[a:b]]})
-        yield pd.DataFrame({"t1": rows["t1"], "t2": rows["t2"], "n_words": np.diff(starts), "hits": out})
+        for k, n in least.items():
+            for i, first, after, tokens in _runs(hashes, starts, k, n, bloom.value):
+                for a in range(first, after, PIECE):
+                    b = min(a + PIECE, after)
+                    low, high = max(first, a - window + 1), min(after - 1 + k, b - 1 + window)
+                    out[i].append({"tokens": signed(tokens[a - first : b - first]).tolist(), "pos": a - int(starts[i]), "left": a - low,
+                                   "words": [lower_word(w) for w in words[low:high]]})
+        yield pd.DataFrame({"t1": rows["t1"], "t2": rows["t2"], "n_words": np.diff(starts), "pieces": out})
+
+
+def _prefix_hits(batches, bloom, window: int):
+    """The shingles of pieces that may be prefix tokens, each with the words around it."""
+    for rows in batches:
+        out = []
+        for t1, t2, n_words, tokens, pos, left, words in rows.itertuples(index=False):
+            tokens = np.asarray(tokens, np.int64)
+            for i in np.flatnonzero(bloom.value.has(tokens.view(np.uint64))).tolist():
+                a = max(0, left + i - window + 1)
+                out.append((t1, t2, n_words, int(tokens[i]), pos + i, left + i - a, list(words[a : left + i + window])))
+        yield pd.DataFrame(out, columns=["t1", "t2", "n_words", "token", "pos", "left", "around"])
 
 
 def find_windows(spark: SparkSession, docs: DataFrame, items: DataFrame, stages: Stages, window: int = WINDOW, k: int = SHINGLE):
     """``(words, spans)``: ``words(t1, t2, n_words)`` per distinct text and
     ``spans(t1, t2, item, start, size)``, every occurrence of an item's window."""
     windows = stages.write(item_windows(items, window, k), "windows")
-    sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(k)).alias("k")).distinct().collect())  # k values at most
+    least = dict(windows.groupBy(F.least(F.size("words"), F.lit(k)).alias("k")).agg(F.min(F.size("tokens"))).collect())  # k rows at most
     texts = docs.select(*text_key(F.col("text")), "text")
     token_rows = windows.select(F.explode("tokens").alias("token")).distinct()
-    if not sizes:
-        sizes = [k]
     bloom = spark.sparkContext.broadcast(Bloom.build(token_rows, "token"))
-    counts = (docs.select("text").mapInPandas(lambda b: _count(b, sizes, bloom), "token bigint, n bigint")
-              .groupBy("token").agg(F.sum("n").alias("n")).join(token_rows, "token"))
+    located = stages.write(texts.mapInPandas(lambda b: _locate(b, least, bloom, window), f"t1 bigint, t2 bigint, n_words bigint, pieces array<struct<{_PIECES}>>"), "located")
+    counts = located.select(F.explode(F.flatten("pieces.tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(token_rows, "token")
     counts = stages.write(counts, "counts")
     # The prefix token of each distinct window: the rarest shingle, and where it stands.
     distinct = windows.groupBy("words").agg(F.collect_set("item").alias("items"), F.first("tokens").alias("tokens"))
@@ -113,14 +127,13 @@ def find_windows(spark: SparkSession, docs: DataFrame, items: DataFrame, stages:
              .groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("prefix"), F.first("items").alias("items")))
     prefixes = stages.write(rated.select("words", "items", "prefix.token", "prefix.offset").where("prefix.n > 0"), "prefixes")
     prefix_bloom = spark.sparkContext.broadcast(Bloom.build(prefixes.select("token").distinct(), "token"))
-    located = texts.mapInPandas(lambda b: _locate(b, sizes, prefix_bloom, window),
-                                "t1 bigint, t2 bigint, n_words bigint, hits array<struct<token:bigint,pos:int,left:int,around:array<string>>>")
-    located = stages.write(located, "located")
     words = located.select("t1", "t2", "n_words")
-    hits = located.where(F.size("hits") > 0).select("t1", "t2", "n_words", F.inline("hits"))
+    hits = (located.where(F.size("pieces") > 0).select("t1", "t2", "n_words", F.inline("pieces"))
+            .mapInPandas(lambda b: _prefix_hits(b, prefix_bloom, window), "t1 bigint, t2 bigint, n_words bigint, token bigint, pos int, left int, around array<string>"))
     size, start = F.size("words"), F.col("pos") - F.col("offset")
     spans = (hits.join(prefixes, "token")
-             .where((start >= 0) & (start + size <= F.col("n_words")) & (F.slice("around", F.greatest(F.col("left") - F.col("offset") + 1, F.lit(1)), size) == F.col("words")))
+             .where((F.col("left") >= F.col("offset")) & (start + size <= F.col("n_words"))
+                    & (F.slice("around", F.greatest(F.col("left") - F.col("offset") + 1, F.lit(1)), size) == F.col("words")))
              .select("t1", "t2", F.explode("items").alias("item"), start.alias("start"), size.alias("size")))
     return words, spans
 
