@@ -193,7 +193,6 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold,
     trusted = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")
                .where(fold(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1"))
     # Ids first, so that only the sample's texts travel.
-    # Ids first, so that only the sample's texts travel.
     trusted = seeded_sample(trusted.select("doc_id"), F.xxhash64(F.lit(SEED), "doc_id"), n_positives)
     some = seeded_sample(may.select("doc_id"), F.xxhash64(F.lit(SEED + 1), "doc_id"), n_unlabelled)
     texts = [may.join(F.broadcast(ids), "doc_id", "left_semi") for ids in (trusted, some)]
