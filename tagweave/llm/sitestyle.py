@@ -9,13 +9,17 @@ Importance follows the entropies of both:
   element that looks the same on every page scores 0;
 * content: ``1 - mean H`` over the texts below it, where a text that is on n of m pages
   has ``H = log_m n``; text that recurs on every page scores 0;
-* composite: ``(1 - g^l) presentation + g^l content`` for ``l`` styles, g = 0.9.
-
-Branches below the threshold are removed from each page of hosts with enough pages to
-tell. Elements that say what they are (navigation, footers, forms, scripts, ...; names
-in classes, ids and roles) are removed on every page, and a page's ``article`` or
-``main``, where it has one, is its text: entropies do not cut into it, so copies of an
-article on one host lose nothing.
+* composite: ``(1 - g^l) presentation + g^l content`` for ``l`` styles, g = 0.9; an
+  element counts as its content does where that is more, so that many pages of one
+  layout cost its text nothing.
+
+Branches below a bar are removed from each page of hosts with enough pages to tell. An
+``article`` or ``main`` raises what is in it and lowers what is beside it: branches in
+it, where each distinct article of a host counts once, go below ``INSIDE``; branches
+beside it need ``BESIDE``; a page without one has ``THRESHOLD``. On hosts with too few
+pages the article is the text, unless more text lies beside it than in it: then both
+are. Elements that say what they are (navigation, footers, forms, scripts, ...; names
+in classes, ids and roles) are removed on every page.
 
 Counting is a pair of map-side aggregations on (host, path, value); pages are parsed in
 their tasks and never gathered per host. The list of removed branches is joined to the
@@ -43,8 +47,10 @@ from pyspark.sql import functions as F
 from .common import Stages
 from .urlfilter import url_host
 
-#: Composite importance below which a branch goes, and pages a host needs for it.
+#: Importance below which a branch goes, and pages (or distinct articles) a host needs for it.
 THRESHOLD, PAGES, DECAY = 0.3, 8, 0.9
+#: The same in an article or main element, and beside one.
+INSIDE, BESIDE = 0.15, 0.6
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -98,9 +104,10 @@ def _names(attributes: str) -> tuple[list[str], list[str], set[str]]:
 def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
     """``(blocks, styles)`` of a page. A block is ``(path, noise, main, text)`` in page
     order: the text between two block boundaries, references decoded, white space
-    single; ``path`` its ancestors, outermost first. A style is ``(path, children)``."""
+    single; ``path`` its ancestors, outermost first; ``main`` how many of them reach to
+    the outermost article or main element, 0 without one. A style is ``(path, main, children)``."""
     html = html or ""
-    root = _Element("", (), False, False, True)
+    root = _Element("", (), False, 0, True)
     stack, blocks, styles, text = [root], [], [], []
 
     def flush():
@@ -118,7 +125,7 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
             flush()
         stack.pop()
         if gone.block and not gone.noise:
-            styles.append((gone.path, tuple(gone.children)))
+            styles.append((gone.path, gone.main, tuple(gone.children)))
 
     def close(tag, scope):
         """Close the innermost open ``tag`` unless an element of ``scope`` is in between."""
@@ -164,18 +171,19 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
         if tag == "body":
             while stack[-1].tag == "head" or stack[-1].tag in NOISE_TAGS:
                 pop()
-        block = tag not in INLINE
         if tag in ENDS_P:
             close("p", SCOPES)
         for sibling in SIBLINGS.get(tag, ()):
             close(sibling, SCOPES - {sibling, "body"} if tag not in ("td", "th", "tr") else {"table", "body"} if tag != "td" and tag != "th" else {"table", "tr", "body"})
         classes, names, roles = _names(attributes) if _SAYS.search(attributes) else ([], [], set())
         above = stack[-1]
-        main = above.main or tag in ("article", "main") or "main" in roles or "article" in roles
+        article = tag in ("article", "main") or "main" in roles or "article" in roles
+        block = article or tag not in INLINE
         noise = above.noise or tag in NOISE_TAGS or bool(roles & NOISE_ROLES) or tag == "header" and not above.main
         if not noise and tag not in ("html", "body"):
-            noise = any(n in NOISE_NAMES or n in OUTER_NAMES and not main for n in names)
-        step = tag + "".join("." + c for c in classes)
+            noise = any(n in NOISE_NAMES or n in OUTER_NAMES and not (above.main or article) for n in names)
+        step = tag + "".join("." + c for c in classes) + (":main" if article else "")
+        main = above.main or article and len(above.path) + 1
         if block or noise != above.noise:
             flush()
         element = _Element(tag, (*above.path, step) if block else above.path, noise, main, block)
@@ -201,58 +209,83 @@ def _hash(value) -> int:
     return xxhash.xxh3_64_intdigest(str(value).encode("utf-8", "surrogatepass")) - 2**63
 
 
-def main_text(blocks: list[tuple], removed: set[int] = frozenset()) -> str:
-    """The text of a parsed page without noise and without branches whose path is in
-    ``removed``; only what is in an article or main element if the page has one."""
+def main_text(blocks: list[tuple], importance: dict[int, float] | None = None, threshold: float = THRESHOLD) -> str:
+    """The text of a parsed page without noise and without branches that ``importance``,
+    by path, puts below their bar; ``None`` for a host that cannot tell."""
     kept = [b for b in blocks if not b[1]]
-    inside = [b[3] for b in kept if b[2]]
-    if inside:
-        return "\n".join(inside)
-    return "\n".join(b[3] for b in kept if not any(path_key(b[0][: i + 1]) in removed for i in range(len(b[0]))))
+    known = importance or {}
+
+    def stays(path, least, start=1):
+        return all(known.get(path_key(path[:i]), 1.0) >= least for i in range(start, len(path) + 1)) if known else True
+
+    inside = [b[2] > 0 and stays(b[0], INSIDE, b[2]) for b in kept]
+    if importance is None and any(inside):
+        beside = sum(len(b[3]) for b in kept if not b[2]) > sum(len(b[3]) for b in kept if b[2])
+        return "\n".join(b[3] for b in kept if b[2] or beside)
+    least = BESIDE if any(inside) else threshold
+    return "\n".join(b[3] for b, own in zip(kept, inside) if own or not b[2] and stays(b[0], least))
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per page and element: its style and the texts below it, each value once. Only
-    what the tree can decide on is told: branches outside noise and articles."""
+    """Per page and element: its style (kind 0) and the texts below it (kind 1), each
+    value once; an article is one text of what it is in. Elements of an article are
+    told of the article, by a hash of its texts, not of the page. Path 0 with kind 2
+    counts pages and articles."""
     for rows in batches:
         out = []
         for host, h1, html in zip(rows["host"], rows["h1"], rows["html"]):
             blocks, styles = parse(html)
-            seen = {(path_key(p), 0, _hash(children)) for p, children in styles if p and p[-1] not in ("html", "body")}
-            for path, noise, main, text in blocks:
-                if not noise and not main:
-                    value = _hash(text)
-                    seen |= {(path_key(path[: i + 1]), 1, value) for i in range(len(path)) if path[i] not in ("html", "body")}
-            out += [(host, h1, *s) for s in seen]
-        yield pd.DataFrame(out, columns=["host", "h1", "path", "kind", "value"])
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """``pages(host, h1, html)`` -> ``(host, path, pages, presentation, content, importance)``."""
-    told = pages.where("host <> ''").mapInPandas(_observe, "host string, h1 bigint, path bigint, kind int, value bigint")
-    n = told.distinct().groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    logs = n.groupBy("host", "path").agg(
+            blocks = [b for b in blocks if not b[1]]
+            own = [b[3] for b in blocks if b[2]]
+            article = _hash("\n".join(own)) if own else None
+            seen = {(h1, False, 0, 2, 0)}
+            if own:
+                seen.add((article, True, 0, 2, 0))
+            for path, main, children in styles:
+                if path and path[-1] not in ("html", "body") and (own or not main):
+                    seen.add((article if main else h1, main > 0, path_key(path), 0, _hash(children)))
+            keys: dict = {}
+            for path, _, main, text in blocks:
+                if path not in keys:
+                    keys[path] = [(main > 0 and i + 1 >= main, path_key(path[: i + 1])) for i in range(len(path)) if path[i] not in ("html", "body")]
+                value = _hash(text)
+                for within, key in keys[path]:
+                    seen.add((article, True, key, 1, value) if within else (h1, False, key, 1, article if main else value))
+            out += [(host, *s) for s in seen]
+        yield pd.DataFrame(out, columns=["host", "id", "main", "path", "kind", "value"])
+
+
+def style_tree(pages: DataFrame, stages: Stages) -> DataFrame:
+    """``pages(host, h1, html)`` -> ``(host, main, path, pages, presentation, content,
+    importance)``; where ``main``, pages are the host's distinct articles."""
+    told = pages.where("host <> ''").mapInPandas(_observe, "host string, id bigint, main boolean, path bigint, kind int, value bigint")
+    n = told.distinct().groupBy("host", "main", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    logs = n.groupBy("host", "main", "path").agg(
         *[F.sum(F.when(F.col("kind") == k, e)).alias(name + str(k)) for k in (0, 1) for name, e in
-          (("total", F.col("n")), ("nlogn", F.col("n") * F.log("n")), ("values", F.lit(1)), ("logn", F.log(F.col("n").cast("double"))))])
-    m = pages.where("host <> ''").groupBy("host").agg(F.count_distinct("h1").alias("pages"))
+          (("total", F.col("n")), ("nlogn", F.col("n") * F.log("n")), ("values", F.lit(1)), ("logn", F.log(F.col("n").cast("double"))))],
+        F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("pages"))
+    logs = stages.write(logs, "logs")
+    m = logs.where("pages is not null").select("host", "main", "pages")
+    logs = logs.where("pages is null").drop("pages")
     unit = F.log(F.col("pages").cast("double"))
     presentation = F.when(F.col("pages") > 1, (F.log(F.col("total0")) - F.col("nlogn0") / F.col("total0")) / unit).otherwise(1.0)
     content = F.when(F.col("pages") > 1, 1 - F.col("logn1") / F.col("values1") / unit).otherwise(1.0)
     styles = F.pow(F.lit(DECAY), F.coalesce("values0", F.lit(1)))
-    return (logs.join(m, "host").select("host", "path", "pages", F.coalesce(presentation, F.lit(0.0)).alias("presentation"), content.alias("content"), styles.alias("decay"))
-            .withColumn("importance", (1 - F.col("decay")) * F.col("presentation") + F.col("decay") * F.coalesce("content", F.lit(1.0))).drop("decay"))
+    composite = (1 - F.col("decay")) * F.col("presentation") + F.col("decay") * F.coalesce("content", F.lit(1.0))
+    return (logs.join(m, ["host", "main"]).select("host", "main", "path", "pages", F.coalesce(presentation, F.lit(0.0)).alias("presentation"), content.alias("content"), styles.alias("decay"))
+            .withColumn("importance", F.greatest(composite, "content")).drop("decay"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     sets: dict = {}
     for batch in batches:
         texts = []
-        for host, html, removed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "removed"))):
+        for host, html, low in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "low"))):
             if host not in sets:
                 if len(sets) > 1000:
                     sets.clear()
-                sets[host] = frozenset(removed or ())
-            texts.append(main_text(parse(html)[0], sets[host]))
+                sets[host] = None if low is None else {e["path"]: e["importance"] for e in low}
+            texts.append(main_text(parse(html)[0], sets[host], threshold))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -261,8 +294,9 @@ def extract_pages(spark: SparkSession, pages: DataFrame, threshold: float = THRE
     stages = Stages(spark, "sitestyle")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html",
                         F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
-    tree = style_tree(rows.select("host", F.xxhash64("html").alias("h1"), "html"))
-    removed = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("removed"))
-    removed = stages.write(removed, "removed")
-    return (rows.join(removed, "host", "left").select("page_id", "url", "html", "host", "removed")
-            .mapInArrow(_extract, "page_id bigint, url string, text string"))
+    tree = style_tree(rows.select("host", F.xxhash64("html").alias("h1"), "html"), stages).where(F.col("pages") >= least_pages)
+    # Hosts that can tell have a list, if an empty one, of their branches below some bar.
+    low = tree.groupBy("host").agg(F.collect_list(F.when(F.col("importance") < max(BESIDE, threshold), F.struct("path", "importance"))).alias("low"))
+    low = stages.write(low, "low")
+    return (rows.join(low, "host", "left").select("page_id", "url", "html", "host", "low")
+            .mapInArrow(lambda batches: _extract(batches, threshold), "page_id bigint, url string, text string"))

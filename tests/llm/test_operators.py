@@ -167,6 +167,23 @@ def test_style_tree_removes_what_a_host_repeats(spark):
             assert r.text == ""
 
 
+def page_texts(spark, pages):
+    rows = [(i, f"http://host.example/{i}", html) for i, html in enumerate(pages)]
+    return {r.page_id: r.text for r in sitestyle.extract_pages(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_style_tree_judges_inside_and_beside_articles(spark):
+    share, story = "<div>Share this story with friends</div>", "<p>story {0} first</p><p>story {0} second</p>"
+    pages = [f"<article><h1>Title {i}</h1>{story.format(i)}{share}</article><div>All rights</div>" for i in range(20)]
+    pages += [pages[4]] * 30 + [pages[4] + f"<!-- {i} -->" for i in range(30)]  # copies of one article cost it nothing
+    got = page_texts(spark, pages)
+    assert got[3] == "Title 3\nstory 3 first\nstory 3 second"
+    assert {got[i] for i in (4, *range(20, 80))} == {"Title 4\nstory 4 first\nstory 4 second"}
+    teaser = [f"<article class=card><p>Teaser {i}</p></article><div class=body><div>a long text {i} in plain divs</div><div>and more of {i}</div></div><div class=end>All rights</div>" for i in range(20)]
+    assert page_texts(spark, teaser)[7] == "Teaser 7\na long text 7 in plain divs\nand more of 7"
+    assert page_texts(spark, teaser[:2])[1].startswith("Teaser 1\na long text 1 in plain divs\nand more of 1")
+
+
 # line de-duplication
 
 def test_minimal_perfect_hash():
