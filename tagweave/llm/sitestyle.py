@@ -18,8 +18,11 @@ Branches below a bar are removed from each page of hosts with enough pages to te
 it, where each distinct article of a host counts once, go below ``INSIDE``; branches
 beside it need ``BESIDE``; a page without one has ``THRESHOLD``. On hosts with too few
 pages the article is the text, unless more text lies beside it than in it: then both
-are. Elements that say what they are (navigation, footers, forms, scripts, ...; names
-in classes, ids and roles) are removed on every page.
+are. Elements that say what they are (navigation, footers, forms, scripts, ...; by tag
+or role) are removed on every page, and so are those whose class or id is the name of
+furniture or, outside an article, begins with one. A name never removes an article, what
+holds one, a heading or a paragraph; where a name only has such a word in it, the tree
+decides, by the bar ``BESIDE``.
 
 Counting is a pair of map-side aggregations on (host, path, value); pages are parsed in
 their tasks and never gathered per host. The list of removed branches is joined to the
@@ -71,6 +74,10 @@ newsletter subscribe signup login comment comments commentlist disqus respond re
 share sharing social related recommended""".split())
 #: These name page furniture only outside an article.
 OUTER_NAMES = {"header", "topbar"}
+#: These name boxes of real text inside one.
+BOX_NAMES = {"alert", "notice", "notices"}
+#: Text in itself, whatever its name; and elements whose id is an anchor.
+TEXT_TAGS, ANCHORED = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "html", "body"}, {"section"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)
 |<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S | re.X)
@@ -81,13 +88,18 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "noise", "main", "block", "children")
+    """``hard`` says noise by its tag or role, ``named`` noise by name unless it turns out
+    to hold an article; ``noise`` is known when the page has been read."""
 
-    def __init__(self, tag, path, noise, main, block):
-        self.tag, self.path, self.noise, self.main, self.block, self.children = tag, path, noise, main, block, []
+    __slots__ = ("tag", "path", "hard", "named", "main", "block", "above", "children", "holds", "noise")
 
+    def __init__(self, tag, path, hard, named, main, block, above):
+        self.tag, self.path, self.hard, self.named, self.main, self.block, self.above = tag, path, hard, named, main, block, above
+        self.children, self.holds, self.noise = [], False, False
 
-def _names(attributes: str) -> tuple[list[str], list[str], set[str]]:
+
+def _names(attributes: str) -> tuple[list[str], list[tuple[str, list[str]]], set[str]]:
+    """Classes, the words of each class and id with its kind, and roles."""
     classes, names, roles = [], [], set()
     for kind, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
@@ -97,18 +109,29 @@ def _names(attributes: str) -> tuple[list[str], list[str], set[str]]:
             continue
         if kind == "class":
             classes += value.split()
-        names += _NAME.findall(_CAMEL.sub("-", value).lower())
+        names += [(kind, words) for name in value.split() if (words := _NAME.findall(_CAMEL.sub("-", name).lower()))]
     return sorted(re.sub(r"\d+", "", c) for c in classes), names, roles
 
 
+def _furniture(tag: str, names: list[tuple[str, list[str]]], inside: bool) -> tuple[bool, bool]:
+    """Whether names make an element noise, and whether they leave it to the style tree."""
+    strong = doubt = False
+    for kind, words in names:
+        said = [w in NOISE_NAMES or not inside and w in OUTER_NAMES for w in words]
+        doubt |= any(said)
+        if tag not in TEXT_TAGS and not (kind == "id" and tag in ANCHORED):
+            strong |= all(said) and not BOX_NAMES.issuperset(words) if inside else said[0]
+    return strong, doubt and not strong and tag not in ("html", "body")
+
+
 def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
     """``(blocks, styles)`` of a page. A block is ``(path, noise, main, text)`` in page
     order: the text between two block boundaries, references decoded, white space
     single; ``path`` its ancestors, outermost first; ``main`` how many of them reach to
     the outermost article or main element, 0 without one. A style is ``(path, main, children)``."""
     html = html or ""
-    root = _Element("", (), False, 0, True)
-    stack, blocks, styles, text = [root], [], [], []
+    root = _Element("", (), False, False, 0, True, None)
+    stack, elements, blocks, styles, text = [root], [], [], [], []
 
     def flush():
         if text:
@@ -117,15 +140,15 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
             if clean:
                 owner = next(e for e in reversed(stack) if e.block)
                 owner.children.append("#text")
-                blocks.append((owner.path, stack[-1].noise, stack[-1].main, clean))
+                blocks.append((owner, stack[-1], clean))
 
     def pop():
         gone = stack[-1]
-        if gone.block or gone.noise != stack[-2].noise:
+        if gone.block or gone.hard or gone.named:
             flush()
         stack.pop()
-        if gone.block and not gone.noise:
-            styles.append((gone.path, gone.main, tuple(gone.children)))
+        if gone.block:
+            styles.append(gone)
 
     def close(tag, scope):
         """Close the innermost open ``tag`` unless an element of ``scope`` is in between."""
@@ -179,14 +202,19 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
         above = stack[-1]
         article = tag in ("article", "main") or "main" in roles or "article" in roles
         block = article or tag not in INLINE
-        noise = above.noise or tag in NOISE_TAGS or bool(roles & NOISE_ROLES) or tag == "header" and not above.main
-        if not noise and tag not in ("html", "body"):
-            noise = any(n in NOISE_NAMES or n in OUTER_NAMES and not (above.main or article) for n in names)
-        step = tag + "".join("." + c for c in classes) + (":main" if article else "")
-        main = above.main or article and len(above.path) + 1
-        if block or noise != above.noise:
+        hard = tag in NOISE_TAGS or bool(roles & NOISE_ROLES) or tag == "header" and not above.main
+        named, doubt = _furniture(tag, names, above.main > 0) if names and not article else (False, False)
+        if article:
+            e = above
+            while e and not e.holds:
+                e.holds, e = True, e.above
+        # What follows a blank cannot be part of a class.
+        step = tag + "".join("." + c for c in classes) + (" main" if article else " ?" if doubt else "")
+        main = above.main or (len(above.path) + 1 if article else 0)
+        if block or hard or named:
             flush()
-        element = _Element(tag, (*above.path, step) if block else above.path, noise, main, block)
+        element = _Element(tag, (*above.path, step) if block else above.path, hard, named, main, block, above)
+        elements.append(element)
         if block:
             next(e for e in reversed(stack) if e.block).children.append(step)
         stack.append(element)
@@ -198,7 +226,10 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
     flush()
     while len(stack) > 1:
         pop()
-    return blocks, styles
+    for e in elements:
+        e.noise = e.above.noise or e.hard or e.named and not e.holds
+    return ([(owner.path, e.noise, e.main, clean) for owner, e, clean in blocks],
+            [(e.path, e.main, tuple(e.children)) for e in styles if not e.noise])
 
 
 def path_key(path: tuple) -> int:
@@ -216,7 +247,7 @@ def main_text(blocks: list[tuple], importance: dict[int, float] | None = None, t
     known = importance or {}
 
     def stays(path, least, start=1):
-        return all(known.get(path_key(path[:i]), 1.0) >= least for i in range(start, len(path) + 1)) if known else True
+        return not known or all(known.get(path_key(path[:i]), 1.0) >= (BESIDE if path[i - 1].endswith(" ?") else least) for i in range(start, len(path) + 1))
 
     inside = [b[2] > 0 and stays(b[0], INSIDE, b[2]) for b in kept]
     if importance is None and any(inside):

@@ -184,6 +184,22 @@ def test_style_tree_judges_inside_and_beside_articles(spark):
     assert page_texts(spark, teaser[:2])[1].startswith("Teaser 1\na long text 1 in plain divs\nand more of 1")
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div class='layout has-sidebar'><article><p>a</p></article></div>", "a"), ("<article class='post no-comments'><p>a</p></article>", "a"),
+    ("<main id='with-nav'>a</main>", "a"), ("<div class='sidebar'><p>x</p><article><p>a</p></article></div>", "a"),
+    ("<article><h2 id='related-work'>a</h2><section id='social-security'>b</section><p class='notice'>c</p><div class='alert-box'>d</div></article>", "a\nb\nc\nd"),
+    ("<article>a<div class='share'>x</div><div id='comments'>x</div><div class='social-share'>x</div></article>", "a"),
+    ("<div class='layout has-sidebar'><p>a</p></div><div class='sidebar-left'>x</div>", "a"),
+])
+def test_names_remove_furniture_only(html, text):
+    assert sitestyle.main_text(sitestyle.parse(html)[0]) == text
+
+
+def test_style_tree_confirms_names_in_part(spark):
+    pages = [f"<article><p>story {i}</p><div class='alert-box'>box {i}</div><div class='post-related'>More by theme {i % 3}</div></article>" for i in range(30)]
+    assert page_texts(spark, pages)[5] == "story 5\nbox 5"
+
+
 # line de-duplication
 
 def test_minimal_perfect_hash():
