@@ -3,11 +3,14 @@
 A rotation of the principal directions is learned, on a bounded sample, so that the
 signs of the rotated coordinates are balanced codes of up to 64 bits that keep
 angles. Codes are cut into four parts; a vector is filed, per part, under the part
-itself and under each of its neighbours at one flipped bit, so two vectors meet in a
-multi-index table when any part differs in two bits or less. Pairs within the
+itself and under its neighbours at a few flipped bits, so two vectors meet in a
+multi-index table when any part differs in ``probe`` bits or less. Pairs within the
 Hamming radius are reranked by the cosine of the original vectors in double
-precision. The radius is calibrated on the sample: vectors turned by exactly the
-cosine's angle stay within it in 99.5 of 100 cases.
+precision. Radius and probe are calibrated on the sample: vectors turned by exactly the
+cosine's angle stay within the radius in 99.5 of 100 cases and meet in 99. They are
+turned in random directions, towards other vectors of the sample and towards the
+nearest ones, as codes see more of turns that lie where the data lie; the widest of
+the three counts. Where even ``MOST_PROBE`` bits are too few, all vectors of a label meet.
 
 Only vectors with the same label (and length) are compared. Equal vectors are
 reduced to one class first and counted, so copies are never paired; only links
@@ -21,6 +24,7 @@ for counting links; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,15 +38,17 @@ COSINE = 0.93
 #: Vectors the rotation is fitted on, at most.
 SAMPLE = 8192
 BITS, PARTS, ROUNDS, SEED = 64, 4, 30, 20240601
+#: Turned vectors per kind of direction, shares of them that the radius and the tables hold, widest probe.
+TURNS, WITHIN, MEET, MOST_PROBE = 4096, 0.995, 0.99, 4
 #: Bits of a part, in SQL.
 WIDTH = f"cast(ceil(least({BITS}, dims) / {PARTS}) as int)"
 
 
 class Quantiser:
-    """Mean, rotation and Hamming radius for vectors of one length."""
+    """Mean, rotation, Hamming radius and probe for vectors of one length."""
 
-    def __init__(self, mean: np.ndarray, rotation: np.ndarray, radius: int):
-        self.mean, self.rotation, self.radius = mean, rotation, radius
+    def __init__(self, mean: np.ndarray, rotation: np.ndarray, radius: int, probe: int = 2):
+        self.mean, self.rotation, self.radius, self.probe = mean, rotation, radius, probe
 
     @classmethod
     def fit(cls, vectors: np.ndarray, cosine: float, bits: int = BITS) -> "Quantiser":
@@ -61,12 +67,19 @@ class Quantiser:
             u, _, vt = np.linalg.svd(np.where(seen @ rotation >= 0, 1.0, -1.0).T @ seen)
             rotation = (u @ vt).T
         out = cls(mean, axes @ rotation, bits)
-        probe = x[rng.integers(0, len(x), 4096)]
-        away = rng.standard_normal(probe.shape)
-        away -= (away * probe).sum(axis=1, keepdims=True) * probe
-        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-        turned = cosine * probe + np.sqrt(1 - cosine**2) * away
-        out.radius = int(np.quantile((out.signs(probe) != out.signs(turned)).sum(axis=1), 0.995)) if dims > 1 else 0
+        out.radius, out.probe = 0, 0
+        width = -(-bits // PARTS)
+        for probe, away in _directions(x, rng) if dims > 1 else ():
+            away = away - (away * probe).sum(axis=1, keepdims=True) * probe
+            norm = np.linalg.norm(away, axis=1, keepdims=True)
+            some = norm[:, 0] > 1e-6  # not towards a copy
+            if not some.any():
+                continue
+            turned = cosine * probe[some] + np.sqrt(1 - cosine**2) * away[some] / norm[some]
+            flips = out.signs(probe[some]) != out.signs(turned)
+            least = np.min([flips[:, i * width : (i + 1) * width].sum(axis=1) for i in range(PARTS)], axis=0)
+            out.radius = max(out.radius, int(np.quantile(flips.sum(axis=1), WITHIN, method="higher")))
+            out.probe = max(out.probe, int(np.quantile(least, MEET, method="higher")))
         return out
 
     def signs(self, unit_vectors: np.ndarray) -> np.ndarray:
@@ -80,6 +93,23 @@ class Quantiser:
         return np.packbits(padded, axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
+def _directions(x: np.ndarray, rng) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of the sample ``x`` and directions to turn them in: any, towards
+    another vector, towards the nearest one that is no copy."""
+    probe = x[rng.integers(0, len(x), TURNS)]
+    yield probe, rng.standard_normal(probe.shape)
+    yield probe, x[rng.integers(0, len(x), TURNS)] - probe
+    probe = x[rng.permutation(len(x))[: TURNS // 4]]
+    near = probe @ x.T
+    near[near > 1 - 1e-9] = -2.0
+    yield probe, x[near.argmax(axis=1)] - probe
+
+
+def _masks(width: int, flips: int) -> list[int]:
+    """The numbers of ``width`` bits with ``flips`` bits set or fewer."""
+    return [sum(1 << b for b in bits) for n in range(min(flips, width) + 1) for bits in combinations(range(width), n)]
+
+
 def _encode(batches: Iterator[pd.DataFrame], models) -> Iterator[pd.DataFrame]:
     for rows in batches:
         codes = np.zeros(len(rows), np.int64)
@@ -107,6 +137,22 @@ def fit_quantisers(classes: DataFrame, cosine: float, sample: int = SAMPLE) -> d
     return out
 
 
+def _filed(codes: DataFrame, flips: dict[int, int | None]) -> DataFrame:
+    """A row of ``codes`` per part and value within ``flips[dims]`` bits of it; one row,
+    of the same value for all, where that is None."""
+    files = None
+    for part in range(PARTS):
+        value = F.expr(f"shiftrightunsigned(code, {part} * {WIDTH}) & (shiftleft(1L, {WIDTH}) - 1)")
+        near = F.array().cast("array<bigint>")
+        for dims, n in flips.items():
+            masks = _masks(-(-min(BITS, dims) // PARTS), n) if n is not None else []
+            there = F.transform(F.lit(np.array(masks, np.int64)), lambda mask: value.bitwiseXOR(mask)) if masks else F.array(*[F.lit(0).cast("bigint")][part:])
+            near = F.when(F.col("dims") == dims, there).otherwise(near)
+        one = codes.select("label", "dims", F.lit(part).alias("part"), F.explode(near).alias("value"), "rep", "code", "radius")
+        files = one if files is None else files.union(one)
+    return files
+
+
 def vector_links(spark: SparkSession, vectors: DataFrame, stages: Stages, cosine: float = COSINE, sample: int = SAMPLE):
     """``(classes, links)``: ``classes(rep, label, dims, h1, h2, vector, n)`` of equal
     vectors and ``links(a, b)`` between their representatives, a < b."""
@@ -120,15 +166,9 @@ def vector_links(spark: SparkSession, vectors: DataFrame, stages: Stages, cosine
         radius = F.when(F.col("dims") == dims, F.lit(model.radius)).otherwise(radius)
     codes = classes.select("rep", "label", "dims", "vector").mapInPandas(lambda b: _encode(b, models), "rep bigint, label string, dims int, code bigint")
     codes = stages.write(codes.withColumn("radius", radius), "codes")
-    files = None
-    for part in range(PARTS):
-        width = F.ceil(F.least(F.lit(BITS), F.col("dims")) / PARTS).cast("int")
-        value = F.expr(f"shiftrightunsigned(code, {part} * {WIDTH}) & (shiftleft(1L, {WIDTH}) - 1)")
-        flips = F.transform(F.sequence(F.lit(0), width - 1), lambda bit: F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
-        near = F.array_union(F.array(value), F.transform(flips, lambda flip: value.bitwiseXOR(flip)))
-        one = codes.select("label", "dims", F.lit(part).alias("part"), F.explode(near).alias("value"), "rep", "code", "radius")
-        files = one if files is None else files.union(one)
-    x, y = files.alias("x"), files.select("label", "dims", "part", "value", F.col("rep").alias("rep_y"), F.col("code").alias("code_y"))
+    # A probe of n bits is shared out: one side is filed under half of them, the other under the rest.
+    files, other = (_filed(codes, {dims: (m.probe + up) // 2 if m.probe <= MOST_PROBE else None for dims, m in models.value.items()}) for up in (1, 0))
+    x, y = files.alias("x"), other.select("label", "dims", "part", "value", F.col("rep").alias("rep_y"), F.col("code").alias("code_y"))
     pairs = (x.join(y, ["label", "dims", "part", "value"])
              .where((F.col("rep") < F.col("rep_y")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("code_y"))) <= F.col("radius")))
              .select(F.col("rep").alias("a"), F.col("rep_y").alias("b")).distinct())

@@ -391,6 +391,24 @@ def test_vector_links_equal_brute_force(spark):
     assert itq.link_vectors(spark, spark.createDataFrame([], "vec_id bigint, label int, embedding array<float>")).count() == 0
 
 
+def structured(rng, dims, rank, n, cosine):
+    """Unit vectors of ``dims`` numbers in ``rank`` dimensions, each with one at ``cosine``."""
+    basis = np.linalg.qr(rng.standard_normal((dims, rank)))[0].T
+    a, b = rng.standard_normal((2, n, rank))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    return np.vstack([a, b]) @ basis
+
+
+@pytest.mark.parametrize("dims, rank", [(64, 64), (384, 64), (768, 100)])
+def test_links_of_long_structured_vectors(spark, dims, rank):
+    x = structured(np.random.default_rng(14), dims, rank, 700, 0.935)
+    n_true = (np.triu(x @ x.T, 1) >= 0.93).sum()
+    got = itq.link_vectors(spark, spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, label int, embedding array<double>")).collect()
+    assert n_true >= 700 and 0.97 * n_true <= sum(r.n_links for r in got) / 2 <= n_true
+
+
 # token files
 
 def tokenizer():
