@@ -4,7 +4,10 @@ Per language, a bounded sample of labelled text becomes a suffix automaton, whic
 knows every substring of the sample. A text is parsed against it from left to right
 into the longest phrases that occur in the sample. Long matches mean few phrases:
 phrases x log2(sample length) / text length estimates the bits per character of the
-text under the language, and the language with the fewest wins.
+text under the language, and the language with the fewest wins. A character that the
+sample does not have is a phrase of as many bits as name any character, the same for all
+languages; each language knows every character of its own sample, and every label that
+is not null is a language.
 
 Text is lower-cased and every run of characters that are not letters becomes one
 space. The whole text is parsed.
@@ -18,7 +21,6 @@ learned; an empty table gives no rows; columns beyond those named are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,12 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import crc_of_id, hash_share
 
-#: Characters learned per language, and languages, at most.
-SAMPLE_CHARS, LANGUAGES = 20_000, 250
+#: Characters learned per language, at most.
+SAMPLE_CHARS = 20_000
+#: Bits that name any character.
+LITERAL = np.log2(0x110000)
+#: Entries of the flat transition tables of a model together; automata beyond it are sparse.
+FLAT = 1 << 24
 #: Bits per character at which a language is e times less likely than the best.
 SHARPNESS = 0.15
 #: Bits per character behind the best at which a language's parse stops.
@@ -45,12 +51,20 @@ def normalise(text: str | None) -> str:
     return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
+class _Sparse(dict):
+    """A table that holds 0 where nothing is set."""
+
+    def __missing__(self, at: int) -> int:
+        return 0
+
+
 class Automaton:
-    """Suffix automaton of a text over a small alphabet, as one flat transition
-    table: ``table[state + code]`` is the next state, 0 for none. States are
-    multiples of the alphabet's size; 0 is the start, which nothing leads to."""
+    """Suffix automaton of a text over an alphabet, as one transition table:
+    ``table[state + code]`` is the next state, 0 for none. States are multiples of the
+    alphabet's size; 0 is the start, which nothing leads to. The table is flat up to
+    ``flat`` entries and sparse beyond, with the same answers."""
 
-    def __init__(self, text: str, alphabet: str):
+    def __init__(self, text: str, alphabet: str, flat: int = FLAT):
         code = {c: i + 1 for i, c in enumerate(alphabet)}
         self.width = len(alphabet) + 1
         nexts: list[dict[int, int]] = [{}]
@@ -80,7 +94,9 @@ class Automaton:
                 q = nexts[p][a]
                 link[cur] = q if length[q] == length[p] + 1 else self._split(nexts, link, length, p, a, q)
             last = cur
-        table = [0] * (len(nexts) * self.width)
+        size = len(nexts) * self.width
+        self.flat_size = size if size <= flat else 0
+        table = [0] * size if self.flat_size else _Sparse()
         for s, out in enumerate(nexts):
             for a, t in out.items():
                 table[s * self.width + a] = t * self.width
@@ -98,7 +114,7 @@ class Automaton:
             p = link[p]
         return clone
 
-    def phrases(self, codes: bytes, enough: float = float("inf")) -> int:
+    def phrases(self, codes: bytes | list[int], enough: float = float("inf")) -> int:
         """Longest-match phrases that the coded text falls into; stops counting once
         there are more than ``enough``."""
         table, state, n = self.table, 0, 0
@@ -117,30 +133,41 @@ class Automaton:
 
 
 class LanguageModel:
-    """Automata of all languages over a common alphabet."""
+    """Automata of all languages, each over the characters of its sample."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], flat: int = FLAT):
         self.languages = sorted(samples)
-        common = Counter(c for text in samples.values() for c in text).most_common(100)
-        alphabet = "".join(sorted(c for c, _ in common))
-        self.codes = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(alphabet):
-            self.codes[ord(c)] = i + 1
-        self.automata = [Automaton(samples[lang], alphabet) for lang in self.languages]
+        every = sorted({c for text in samples.values() for c in text})
+        self.codes = np.zeros(0x110000, np.int32)  # of a character among all samples' ones
+        self.codes[[ord(c) for c in every]] = np.arange(1, len(every) + 1)
+        self.automata, self.own = [], []
+        for lang in self.languages:
+            alphabet = "".join(sorted(set(samples[lang])))
+            self.automata.append(Automaton(samples[lang], alphabet, flat))
+            flat -= self.automata[-1].flat_size
+            own = np.zeros(len(every) + 1, np.uint8 if len(alphabet) < 256 else np.int32)  # of a character among the language's
+            own[self.codes[[ord(c) for c in alphabet]]] = np.arange(1, len(alphabet) + 1)
+            self.own.append(own)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of a softmax over negative bits per character."""
         clean = normalise(text)
         if not clean or not self.automata:
             return "und", 0.0
-        coded = self.codes[np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4")].tobytes()
+        every = self.codes[np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4")]
+        coded, literal = [], []
+        unit = [np.log2(a.text_length) / len(every) for a in self.automata]
+        for own, u in zip(self.own, unit):
+            codes = own[every]
+            # What unseen characters cost beyond the phrase that each of them is.
+            literal.append((len(codes) - np.count_nonzero(codes)) * (LITERAL / len(every) - u))
+            coded.append(codes.tobytes() if codes.dtype == np.uint8 else codes.tolist())
         # The language likely to win, by a first look, is parsed first; another one is out as soon
         # as its count, which only grows, puts it HOPELESS behind the best. The winner is that of full counts.
-        unit = [np.log2(a.text_length) / len(coded) for a in self.automata]
-        glance = [a.phrases(coded[:200]) * u for a, u in zip(self.automata, unit)]
+        glance = [a.phrases(c[:200]) * u * len(every) / min(200, len(every)) + x for a, c, u, x in zip(self.automata, coded, unit, literal)]
         bits, best = np.zeros(len(unit)), float("inf")
         for i in np.argsort(glance, kind="stable"):
-            bits[i] = self.automata[i].phrases(coded, (best + HOPELESS) / unit[i]) * unit[i]
+            bits[i] = self.automata[i].phrases(coded[i], (best + HOPELESS - literal[i]) / unit[i]) * unit[i] + literal[i]
             best = min(best, bits[i])
         winner = int(bits.argmin())
         return self.languages[winner], float(1 / np.exp((best - bits) / SHARPNESS).sum())
@@ -165,20 +192,16 @@ def _predict(batches: Iterator[pa.RecordBatch], samples, columns: list[str]) ->
                                          [*columns, "lang_pred", "score"])
 
 
-def learn_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
+def learn_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Sample text per language from ``labelled(doc_id, text, lang)``: ``chars`` normalised
-    characters of documents in a seeded order. The most frequent ``languages`` are
-    learned. Per language the share of documents that holds some 8 * ``chars``
+    characters of documents in a seeded order. Per language the share of documents that holds some 8 * ``chars``
     characters is chosen by a hash, so that much is collected per language."""
     part = F.substring("text", 1, 2 * chars)
     rows = (labelled.where("text is not null and lang is not null and doc_id is not null")
             .select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "text"))
-    top = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(part)).alias("chars"))
-           .orderBy(F.desc("n"), "lang").limit(languages).collect())
-    if not top:
-        return {}
-    shares = F.create_map(*[F.lit(x) for lang, _, size in top for x in (lang, min(1.0, 8.0 * chars / max(1, size)))])
-    some = rows.where(F.col("lang").isin([r[0] for r in top])).where(hash_share(F.col("h"), F.element_at(shares, F.col("lang"))))
+    sizes = rows.groupBy("lang").agg(F.sum(F.char_length(part)).alias("chars"))
+    shares = sizes.select("lang", F.least(F.lit(1.0), 8.0 * chars / F.greatest(F.lit(1), "chars")).alias("share"))
+    some = rows.join(F.broadcast(shares), "lang").where(hash_share(F.col("h"), F.col("share")))
     out: dict[str, str] = {}
     for lang, _, text in sorted(some.select("lang", "h", part.alias("text")).collect()):
         if len(out.get(lang, "")) < chars:

@@ -120,6 +120,25 @@ def test_language_of_held_out_text(spark):
     assert langid.identify(spark, docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_many_alphabets_and_languages(spark):
+    rng = random.Random(31)
+    starts = {"el": 0x3B1, "ru": 0x430, "hy": 0x561, "ka": 0x10D0, "hi": 0x905, "th": 0xE01, "zh": 0x4E00, "ja": 0x3041, "ko": 0xAC00, "am": 0x1200}
+    text = lambda first, n: " ".join("".join(chr(first + int(n * rng.random() ** 2)) for _ in range(4)) for _ in range(60))
+    rows = [(i, text(starts[lang], 600 if lang in ("zh", "ko") else 24), lang) for i, lang in enumerate(sorted(starts) * 12)]
+    rows += [(500 + i, text(0x61, 26), "aa") for i in range(12)] + [(600, "tiny", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {(r.doc_id, r.lang_pred) for r in langid.identify(spark, docs, docs).collect()} == {(i, lang) for i, _, lang in rows}
+    many = spark.createDataFrame([(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} ab", f"l{i}") for i in range(300)], "doc_id bigint, text string, lang string")
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in langid.identify(spark, many, many).collect())
+
+
+def test_sparse_automata_answer_as_flat_ones():
+    rng = random.Random(32)
+    samples = {lang: prose(rng, 300, 50 + 40 * i) + chr(300 + i) for i, lang in enumerate("abc")}
+    flat, sparse = langid.LanguageModel(samples), langid.LanguageModel(samples, flat=0)
+    assert all(flat.predict(t) == sparse.predict(t) for t in (prose(rng, 30) for _ in range(20)))
+
+
 # quality
 
 def test_quality_on_held_out_labels(spark):
