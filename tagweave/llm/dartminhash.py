@@ -12,7 +12,9 @@ the earliest dart of a coordinate is its signature value. Coordinates still empt
 make the document look at higher ranks. Two documents agree on a coordinate with
 the probability of their similarity.
 
-Copies of the same words are reduced to one document first. Bands of signature
+Copies of the same words are reduced to one document first, which goes by a hash of
+its words (a 64-bit half of their digest), so that an id with several texts has several
+documents. Bands of signature
 values are buckets; the documents of a bucket are compared with a few pivots of it
 (stars, not all pairs) and components follow. Then documents that share a bucket but no
 component yet are compared inside the join of the bucket: by their whole signatures,
@@ -21,7 +23,8 @@ shares, and then exactly. The join makes a row for a link only, not for a pair.
 
 Defined results: texts without words (null, empty) link with nothing; rows without
 ``doc_id`` are left out of the classes and come back alone, with a null class; rows
-that repeat a ``doc_id`` are each classed by their own text; an empty table gives no
+that repeat a ``doc_id`` are each classed by their own text, and two classes that share
+their smallest ``doc_id`` have one name but stay two classes (``component`` tells them); an empty table gives no
 rows; columns other than ``doc_id`` and ``text`` are not read.
 """
 
@@ -158,12 +161,12 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
 def _compare(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     cache, seen = WordHash(), {}
     for rows in batches:
-        def weighted(doc_id, text):
-            if (doc_id, len(text)) not in seen:
+        def weighted(key, text):
+            if key not in seen:
                 if len(seen) >= 64:  # bounds memory; pairs come sorted, so a document's pairs are together
                     seen.clear()
-                seen[doc_id, len(text)] = np.unique(shingles(cache.of(WORD.findall(text)), k), return_counts=True)
-            return seen[doc_id, len(text)]
+                seen[key] = np.unique(shingles(cache.of(WORD.findall(text)), k), return_counts=True)
+            return seen[key]
 
         yield pd.DataFrame({"a": rows["a"], "b": rows["b"],
                             "sim": [weighted_jaccard(weighted(a, ta), weighted(b, tb)) for a, ta, b, tb in zip(rows["a"], rows["ta"], rows["b"], rows["tb"])]},
@@ -193,15 +196,16 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, similar: float = SIMILAR,
                     bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, t1, t2, class_id)`` for each row; the class is
-    named by its smallest document and holds what links and exact copies connect;
-    ``t1, t2`` name the row's text."""
+    """``docs(doc_id, text)`` -> ``(doc_id, t1, t2, class_id, component)`` for each row; the
+    class holds what links and exact copies connect, ``component`` is its own number (null
+    without words) and ``class_id`` its smallest document; ``t1, t2`` name the row's text."""
     stages = Stages(spark, "neardup")
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")), "text")
     signs = stages.write(named.where("doc_id is not null").mapInPandas(
         lambda batches: _sign(batches, k, bands, rows_per_band), "doc_id bigint, t1 bigint, t2 bigint, d1 bigint, d2 bigint, n bigint, keys array<bigint>, nibbles array<bigint>"), "signs")
     copies = (signs.where("n > 0").groupBy("d1", "d2")
-              .agg(F.min("doc_id").alias("rep"), F.min(F.struct("keys", "nibbles")).alias("s")).select("d1", "d2", "rep", "s.*"))
+              .agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.min(F.struct("keys", "nibbles")).alias("s"))
+              .select("d1", "d2", F.col("d1").alias("rep"), "first.*", "s.*"))
     copies = stages.write(copies, "copies")
     rows = copies.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("key")
@@ -211,8 +215,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, simi
     pivots = members.select("key", "rep").withColumn("nth", nth).where(F.col("nth") <= PIVOTS).select("key", F.col("rep").alias("pivot"))
     stars = (members.join(pivots, "key").where("rep <> pivot")
              .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = stages.write(named.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "id", "left_semi"), "texts")
+    wanted = copies.join(members.select("rep").distinct(), "rep", "left_semi").select("doc_id", "t1", "t2", F.col("rep").alias("id"))
+    texts = stages.write(named.join(wanted, ["doc_id", "t1", "t2"]).groupBy("doc_id", "t1", "t2", "id")
+                         .agg(F.first(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text"), "texts")
 
     def linked(pairs, name):
         return stages.write(compare_pairs(pairs, texts, k).where(F.col("sim") >= similar).select("a", "b").distinct(), name)
@@ -246,21 +251,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, simi
     classes = stages.write(connected_components(stages, links, "cc"), "classes")
     stages.drop("texts", "members")
     # Every row -> the representative of its words -> the class of that representative.
-    owners = copies.select("d1", "d2", "rep").join(classes.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
+    owners = copies.select("d1", "d2", "rep", "doc_id").join(classes.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "doc_id", F.coalesce("component", "rep").alias("component"))
     owners = stages.write(owners, "owners")
+    # Written, so that both sides of the join are dealt apart and a large class can be split.
+    names = stages.write(owners.groupBy("component").agg(F.min("doc_id").alias("class_id")), "names")
+    owners = stages.write(owners.join(names, "component").select("d1", "d2", "component", "class_id"), "named")
     out = signs.select("doc_id", "t1", "t2", "d1", "d2", "n").join(owners, ["d1", "d2"], "left")
-    out = out.select("doc_id", "t1", "t2", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    alone = named.where("doc_id is null").select("doc_id", "t1", "t2", F.lit(None).cast("bigint").alias("class_id"))
-    return out.union(alone)
+    has_words = F.col("n") > 0
+    out = out.select("doc_id", "t1", "t2", F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(has_words, F.col("component")).alias("component"))
+    nothing = F.lit(None).cast("bigint")
+    return out.union(named.where("doc_id is null").select("doc_id", "t1", "t2", nothing.alias("class_id"), nothing.alias("component")))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of ``docs`` per class of :func:`near_duplicates`: of its smallest document
     the text that hashes lowest, of equal rows the first by a hash of all columns.
-    Rows without ``doc_id`` stay."""
-    rows = classes.where("doc_id is not null").groupBy("class_id", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("class_id").agg(F.min(F.struct("doc_id", "t1", "t2", "n")).alias("k"))
-    first = first.select(*[F.col(f"k.{c}").alias(c) for c in ("doc_id", "t1", "t2", "n")])
+    Rows without ``doc_id`` stay; of those without words, one per ``doc_id`` and text."""
+    rows = classes.where("doc_id is not null").groupBy("component", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "t1", "t2", "n")).alias("k"))
+    first = first.select(*[F.col(f"k.{c}").alias(c) for c in ("doc_id", "t1", "t2", "n")]).union(rows.where("component is null").select("doc_id", "t1", "t2", "n"))
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")), as_row(docs))
     kept = keyed.join(first, ["doc_id", "t1", "t2"])
     nth = F.row_number().over(Window.partitionBy("doc_id", "t1", "t2").orderBy(F.xxhash64("row")))

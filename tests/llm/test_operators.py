@@ -355,6 +355,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert dartminhash.near_duplicates(spark, frame(spark, [])).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(33)
+    a, b = prose(rng, 120, 5000), prose(rng, 90, 5000)
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, prose(rng, 50, 5000)), (1, ""), (1, " . "), (1, a), (5, b.upper())]
+    docs = frame(spark, [(i, t, None) for i, t in rows])
+    classes = dartminhash.near_duplicates(spark, docs).cache()
+    assert sorted((r.doc_id, r.class_id) for r in classes.collect()) == sorted((i, 1 if i != 4 else 4) for i, _ in rows)
+    assert classes.where("component is not null").select("component").distinct().count() == 3
+    assert sorted((r.doc_id, r.text) for r in dartminhash.keep_one(docs, classes).collect()) == sorted([(1, a), (1, b), (1, ""), (1, " . "), (4, rows[4][1])])
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 2**63, 200).astype(np.uint64)
