@@ -95,7 +95,7 @@ class SpanConfig:
     group_rows: int = 1000
     batch_size: int = 8
     seed: int = 42
-    keep_short_chunks: bool = False
+    keep_short_chunks: bool = True
     pad_id: int = 0
     eos_id: int = 1
     decoder_start_id: int = 0
