@@ -3,11 +3,15 @@ shared folder, word splitting, word hashing and bounded Bloom filters."""
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,3 +177,84 @@ def chunks(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
             start, total = i, 0
         total += n
     return [*out, (start, len(lengths))] if len(lengths) else []
+
+
+def byte_table(**targets: str) -> bytes:
+    """A translation of bytes: A-Z to lower case where ``lower`` is given, and the ASCII
+    characters of ``space`` to a space, of ``line`` to a line feed. UTF-8 lengths stay."""
+    table = bytearray(range(256))
+    for c in range(65, 91) if "lower" in targets else ():
+        table[c] = c + 32
+    for name, to in (("space", 32), ("line", 10)):
+        for c in targets.get(name, ""):
+            table[ord(c)] = to
+    return bytes(table)
+
+
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """The texts (no nulls) with every byte looked up in ``table``, one pass over their buffer."""
+    texts = texts.cast(pa.string())
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = data.to_pybytes()[at[0] : at[-1]] if data is not None else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).astype(np.int32).tobytes()), pa.py_buffer(raw.translate(table)))
+
+
+def space_parts(texts: pa.Array, keep_empty: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """``(starts, parts)``: the texts (no nulls) split at single spaces, in a row; text i
+    has the parts ``starts[i]`` to ``starts[i + 1]``. Empty parts go unless kept."""
+    lists = pc.split_pattern(texts, " ")
+    parts = lists.flatten()
+    starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))]
+    if not keep_empty and len(parts):
+        kept = pc.not_equal(parts, "")
+        starts = np.r_[0, np.cumsum(kept.to_numpy(zero_copy_only=False))][starts]
+        parts = parts.filter(kept)
+    return starts, parts
+
+
+def byte_pieces(batches, column: str, most: int):
+    """Record batches cut so that the texts of ``column`` take ``most`` bytes or, for a
+    batch of one row, more."""
+    for batch in batches:
+        lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in chunks(lengths, most):
+            yield batch.slice(a, b - a)
+
+
+def per_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over the parts of each text."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
+def spans_of(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions ``firsts[i]`` to ``firsts[i] + lengths[i]`` of every i in a row."""
+    ends = np.cumsum(lengths)
+    return np.repeat(firsts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to every executor; :func:`shipped` finds it there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    return SparkFiles.get(name)
+
+
+#: Keys of a table of counts that are held by broadcast: those with at least a
+#: HEAVY-th of all counts, of which there can be no more than HEAVY. The rest is joined,
+#: and none of its keys is in many rows.
+HEAVY = 1 << 18
+
+
+def heavy_and_tail(counts: DataFrame, n: str = "n", heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """A table of counts split into at most ``heavy`` keys that hold a heavy-th of the
+    total or more, and the others."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    share = F.col(n).cast("double") * float(heavy) >= float(total)
+    return counts.where(share), counts.where(~share)

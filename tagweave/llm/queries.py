@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table as table
-from . import dartminhash, decontam, itq, langid, linedup, mixing, quality, sitestyle, tokenbin, urlfilter
+from . import align, dartminhash, decontam, itq, langid, linedup, mixing, phrases, quality, sitestyle, tokenbin, urlfilter
 from .common import crc_of_id
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -170,10 +170,10 @@ SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
 """
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +181,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' ids of every document."""
+    return align.align_tokenizers(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best-scoring phrases of two and three words."""
+    return phrases.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM docs),
+places AS (SELECT lang, w, o, unnest(range(1, len(w) - o + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS v(o)),
+grams AS (SELECT lang, o, w[i:i + o - 1] AS p, count(*)::HUGEINT AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE o = 1 GROUP BY lang),
+cand AS (SELECT * FROM grams WHERE o >= 2 AND f >= 10),
+longer AS (SELECT lang, p[1:2] AS p, f FROM cand WHERE o = 3 UNION ALL SELECT lang, p[2:3], f FROM cand WHERE o = 3),
+most AS (SELECT lang, p, max(f) AS f FROM longer GROUP BY ALL),
+cuts AS (SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, o)) AS k FROM cand) c JOIN grams x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN grams y ON y.lang = c.lang AND y.p = c.p[k + 1:c.o]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+kept AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.p = b.p WHERE m.f IS NULL OR 100 * m.f < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_quality, op4_page_text, op5_line_dedup, op6_url_filters,
-                                   op7_decontaminate, op8_near_duplicates, op9_vector_links, op10_token_files)}
-ORACLES = {"op5_line_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_vector_links": OP9_SQL}
+                                   op7_decontaminate, op8_near_duplicates, op9_vector_links, op10_token_files, op11_token_alignment, op12_phrase_collocations)}
+ORACLES = {"op5_line_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_vector_links": OP9_SQL,
+           "op12_phrase_collocations": OP12_SQL}
