@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table as table
-from . import align, dartminhash, decontam, itq, langid, linedup, mixing, phrases, quality, sitestyle, tokenbin, urlfilter
+from . import align, dartminhash, decontam, itq, langid, linedup, lm, mixing, phrases, quality, sitestyle, tokenbin, urlfilter
 from .common import crc_of_id
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -209,7 +209,15 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, sc
 """
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and attention-model score of every document."""
+    import public_tokenizers
+
+    fold = crc_of_id(F.col("doc_id")) % 7
+    return lm.score_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, fold == 2, fold != 2)
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_quality, op4_page_text, op5_line_dedup, op6_url_filters,
-                                   op7_decontaminate, op8_near_duplicates, op9_vector_links, op10_token_files, op11_token_alignment, op12_phrase_collocations)}
+                                   op7_decontaminate, op8_near_duplicates, op9_vector_links, op10_token_files, op11_token_alignment, op12_phrase_collocations, op13_lm_scores)}
 ORACLES = {"op5_line_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_vector_links": OP9_SQL,
            "op12_phrase_collocations": OP12_SQL}
