@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HEAVY, Stages, byte_pieces, heavy_and_tail, per_text, ship_file, shipped, space_parts, spans_of
+from .common import HEAVY, Stages, byte_pieces, heavy_and_tail, held, per_text, ship_file, shipped, space_parts, spans_of
 
 #: Bytes of text that are aligned at a time.
 PIECE_BYTES = 4 << 20
@@ -207,22 +207,12 @@ class Aligner:
         return {c: v[back] for c, v in sums.items()} | {"groups_sha256": pa.array(digests, pa.string()).take(pa.array(back))} | {c: v.take(pa.array(back)) for c, v in lists.items()}
 
 
-_ALIGNERS: dict = {}
-
-
-def _aligner(name_a: str, name_b: str) -> Aligner:
-    """Loaded once per Python worker, which runs many tasks."""
-    if (name_a, name_b) not in _ALIGNERS:
-        _ALIGNERS.clear()
-        _ALIGNERS[name_a, name_b] = Aligner(shipped(name_a), shipped(name_b))
-    return _ALIGNERS[name_a, name_b]
-
-
 _COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
 
 
 def _align(batches, name_a: str, name_b: str):
-    aligner, uid = _aligner(name_a, name_b), TaskContext.get().partitionId() << 33
+    aligner = held(("align", name_a, name_b), lambda: Aligner(shipped(name_a), shipped(name_b)))
+    uid = TaskContext.get().partitionId() << 33
     for batch in byte_pieces(batches, "text", PIECE_BYTES):
         found = aligner.texts(batch["text"].cast(pa.string()))
         n = len(batch)
@@ -249,16 +239,16 @@ def _look_up(batches, table):
     keys, n, best = table.value
     for batch in batches:
         lists, times = batch["keys"], batch["times"].flatten().to_numpy().astype(np.int64)
-        held = lists.flatten().to_numpy()
+        own = lists.flatten().to_numpy()
         starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))]
-        at = np.minimum(np.searchsorted(keys, held), max(0, len(keys) - 1))
-        known = keys[at] == held if len(keys) else np.zeros(len(held), bool)
-        counted = np.where(known, times * n[at], 0) if len(keys) else np.zeros(len(held), np.int64)
+        at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+        known = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        counted = np.where(known, times * n[at], 0) if len(keys) else np.zeros(len(own), np.int64)
         bests = np.where(known & best[at], times, 0) if len(keys) else counted
         rest = np.r_[0, np.cumsum(~known)][starts].astype(np.int32)
         yield pa.RecordBatch.from_pydict({
             **{c: batch[c] for c in ("uid", "doc_id", "n_a", "n_b", "n_groups", "n_links")}, "n_best": per_text(bests, starts), "count_sum": per_text(counted, starts),
-            "groups_sha256": batch["groups_sha256"], "keys": pa.ListArray.from_arrays(pa.array(rest), pa.array(held[~known])),
+            "groups_sha256": batch["groups_sha256"], "keys": pa.ListArray.from_arrays(pa.array(rest), pa.array(own[~known])),
             "times": pa.ListArray.from_arrays(pa.array(rest), pa.array(times[~known].astype(np.int32)))})
 
 
@@ -271,8 +261,8 @@ def align_tokenizers(spark: SparkSession, docs: DataFrame, path_a: str, path_b:
     counts = stages.write(link_counts(aligned, size_b), "counts")
     most = F.broadcast(counts.groupBy("b").agg(F.max("n").alias("most")))  # at most one row per id of B
     rated = stages.write(counts.join(most, "b").select("key", "n", (F.col("n") == F.col("most")).alias("best")), "rated")
-    held, rest = heavy_and_tail(rated, heavy=heavy)
-    table = held.orderBy("key").toArrow()
+    most_linked, rest = heavy_and_tail(rated, heavy=heavy)
+    table = most_linked.orderBy("key").toArrow()
     table = spark.sparkContext.broadcast((table["key"].to_numpy(), table["n"].to_numpy(), table["best"].to_numpy()))
     schema = f"uid bigint, doc_id bigint, {_COUNTS}, n_best bigint, count_sum bigint, groups_sha256 string, keys array<bigint>, times array<int>"
     partial = stages.write(aligned.mapInArrow(lambda b: _look_up(b, table), schema), "partial")

@@ -34,7 +34,7 @@ def lower_word(word: str) -> str:
 class WordHash(dict):
     """64-bit hash of the lower-cased word, remembered for up to ``LIMIT`` words."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -236,6 +236,32 @@ def spans_of(firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(firsts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+#: Bytes that are in no word of :data:`WORD` become spaces, A-Z lower case.
+_WORD_TABLE = byte_table(lower="", space="".join(chr(c) for c in range(128) if not chr(c).isalnum()))
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """``(starts, index, words, hashes)`` of texts without nulls: text i has the lower-cased
+    words ``words[index[starts[i]:starts[i + 1]]]``; hashes are those of :class:`WordHash`,
+    one per distinct word."""
+    starts, parts = space_parts(translated(texts, _WORD_TABLE))
+    coded = parts.dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary.cast(pa.binary())], np.uint64)
+    return starts, coded.indices.to_numpy().astype(np.int64), coded.dictionary, hashes
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` returns, kept in this Python worker until something else is asked for:
+    a worker runs tasks of many stages and holds one such thing at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def ship_file(spark: SparkSession, path: str) -> str:
     """Send a file of the driver to every executor; :func:`shipped` finds it there."""
     spark.sparkContext.addFile(path)
