@@ -33,33 +33,39 @@ SHARD_KEYS = 4096
 #: Bits per remaining hash on each level.
 GAMMA = 2.0
 MIN_KEY = 10
+#: Levels that distinct hashes never need.
+MOST_LEVELS = 200
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def build_mph(hashes: np.ndarray, gamma: float = GAMMA) -> list[np.ndarray]:
-    """Levels of bit arrays for distinct 64-bit hashes. Two hashes collide on a
-    level by chance only, so every hash finds a bit of its own sooner or later."""
-    levels, rest = [], hashes
+def build_mph(h1: np.ndarray, h2: np.ndarray, gamma: float = GAMMA) -> list[np.ndarray]:
+    """Levels of bit arrays for distinct pairs of 64-bit hashes. Both halves choose the bit,
+    anew on each level, so that two pairs collide on a level by chance only, also where
+    they share a half, and every pair finds a bit of its own sooner or later."""
+    levels, rest = [], np.arange(len(h1))
     while len(rest):
+        if len(levels) == MOST_LEVELS:
+            raise ValueError("hashes are not distinct")
         size = max(64, int(gamma * len(rest)))
-        spot = _spot(rest, len(levels), size)
+        spot = _spot(h1[rest], h2[rest], len(levels), size)
         alone = np.bincount(spot, minlength=size)
         levels.append(alone == 1)
         rest = rest[alone[spot] != 1]
     return levels
 
 
-def _spot(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64)) % np.uint64(size)).astype(np.int64)
+def _spot(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+    step = np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64)
+    return (mix(h1 + mix(h2 + step)) % np.uint64(size)).astype(np.int64)
 
 
-def find_mph(levels: list[np.ndarray], ranks: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """Index of each hash; -1, or any index, for hashes that were not built in."""
-    out = np.full(len(hashes), -1, np.int64)
-    rest = np.arange(len(hashes))
+def find_mph(levels: list[np.ndarray], ranks: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Index of each pair; -1, or any index, for pairs that were not built in."""
+    out = np.full(len(h1), -1, np.int64)
+    rest = np.arange(len(h1))
     for level, (bits, rank) in enumerate(zip(levels, ranks)):
-        spot = _spot(hashes[rest], level, len(bits))
+        spot = _spot(h1[rest], h2[rest], level, len(bits))
         hit = bits[spot]
         out[rest[hit]] = rank[spot[hit]]
         rest = rest[~hit]
@@ -81,8 +87,8 @@ class ShardArrays:
 
     @classmethod
     def build(cls, h1, h2, counts, firsts) -> "ShardArrays":
-        out = cls(build_mph(h1), None, None, None)
-        at = np.argsort(find_mph(out.levels, out.ranks, h1))
+        out = cls(build_mph(h1, h2), None, None, None)
+        at = np.argsort(find_mph(out.levels, out.ranks, h1, h2))
         out.prints, out.counts, out.firsts = h2[at], counts[at].astype(np.uint32), firsts[at]
         return out
 
@@ -105,7 +111,7 @@ class ShardArrays:
 
     def probe(self, h1, h2) -> np.ndarray:
         """Index of each line in the arrays, -1 where it is not among them."""
-        at = find_mph(self.levels, self.ranks, h1)
+        at = find_mph(self.levels, self.ranks, h1, h2)
         known = at >= 0
         known[known] = self.prints[at[known]] == h2[known]
         return np.where(known, at, -1)
