@@ -38,12 +38,19 @@ COSINE = 0.93
 #: Vectors the rotation is fitted on, at most.
 SAMPLE = 8192
 BITS, PARTS, ROUNDS, SEED = 64, 4, 30, 20240601
-#: Turned vectors per kind of direction, shares of them that the radius and the tables hold, widest probe.
-TURNS, WITHIN, MEET, MOST_PROBE = 4096, 0.995, 0.99, 4
+#: Turned vectors per kind of direction, shares of them that the radius and the tables hold.
+TURNS, WITHIN, MEET = 4096, 0.995, 0.99
 #: Bits of a part, in SQL.
 WIDTH = f"cast(ceil(least({BITS}, dims) / {PARTS}) as int)"
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one. They are first divided by their largest number, so that squares
+    of very small or large numbers neither vanish nor overflow."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 class Quantiser:
     """Mean, rotation, Hamming radius and probe for vectors of one length."""
 
@@ -53,7 +60,7 @@ class Quantiser:
     @classmethod
     def fit(cls, vectors: np.ndarray, cosine: float, bits: int = BITS) -> "Quantiser":
         rng = np.random.default_rng(SEED)
-        x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        x = unit(vectors)
         dims = x.shape[1]
         bits = min(bits, dims)
         mean = x.mean(axis=0)
@@ -87,7 +94,7 @@ class Quantiser:
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Codes as signed 64-bit numbers, the first bit lowest."""
-        signs = self.signs(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+        signs = self.signs(unit(vectors))
         padded = np.zeros((len(signs), 64), np.uint8)
         padded[:, : signs.shape[1]] = signs
         return np.packbits(padded, axis=1, bitorder="little").view("<i8").reshape(-1)
@@ -123,6 +130,7 @@ def _rerank(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataF
         keep = np.zeros(len(rows), bool)
         for _, at in rows.groupby(rows["va"].map(len)).indices.items():
             a, b = (np.vstack(rows[c].iloc[at].to_numpy()).astype(np.float64) for c in ("va", "vb"))
+            a, b = (v / np.abs(v).max(axis=1, keepdims=True) for v in (a, b))
             keep[at] = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) >= cosine
         yield rows.loc[keep, ["a", "b"]]
 
@@ -137,16 +145,15 @@ def fit_quantisers(classes: DataFrame, cosine: float, sample: int = SAMPLE) -> d
     return out
 
 
-def _filed(codes: DataFrame, flips: dict[int, int | None]) -> DataFrame:
-    """A row of ``codes`` per part and value within ``flips[dims]`` bits of it; one row,
-    of the same value for all, where that is None."""
+def _filed(codes: DataFrame, flips: dict[int, int]) -> DataFrame:
+    """A row of ``codes`` per part and value within ``flips[dims]`` bits of it."""
     files = None
     for part in range(PARTS):
         value = F.expr(f"shiftrightunsigned(code, {part} * {WIDTH}) & (shiftleft(1L, {WIDTH}) - 1)")
         near = F.array().cast("array<bigint>")
         for dims, n in flips.items():
-            masks = _masks(-(-min(BITS, dims) // PARTS), n) if n is not None else []
-            there = F.transform(F.lit(np.array(masks, np.int64)), lambda mask: value.bitwiseXOR(mask)) if masks else F.array(*[F.lit(0).cast("bigint")][part:])
+            masks = _masks(-(-min(BITS, dims) // PARTS), n)
+            there = F.transform(F.lit(np.array(masks, np.int64)), lambda mask: value.bitwiseXOR(mask))
             near = F.when(F.col("dims") == dims, there).otherwise(near)
         one = codes.select("label", "dims", F.lit(part).alias("part"), F.explode(near).alias("value"), "rep", "code", "radius")
         files = one if files is None else files.union(one)
@@ -167,7 +174,7 @@ def vector_links(spark: SparkSession, vectors: DataFrame, stages: Stages, cosine
     codes = classes.select("rep", "label", "dims", "vector").mapInPandas(lambda b: _encode(b, models), "rep bigint, label string, dims int, code bigint")
     codes = stages.write(codes.withColumn("radius", radius), "codes")
     # A probe of n bits is shared out: one side is filed under half of them, the other under the rest.
-    files, other = (_filed(codes, {dims: (m.probe + up) // 2 if m.probe <= MOST_PROBE else None for dims, m in models.value.items()}) for up in (1, 0))
+    files, other = (_filed(codes, {dims: (m.probe + up) // 2 for dims, m in models.value.items()}) for up in (1, 0))
     x, y = files.alias("x"), other.select("label", "dims", "part", "value", F.col("rep").alias("rep_y"), F.col("code").alias("code_y"))
     pairs = (x.join(y, ["label", "dims", "part", "value"])
              .where((F.col("rep") < F.col("rep_y")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("code_y"))) <= F.col("radius")))
