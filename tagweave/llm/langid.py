@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_of_id, hash_share
+from .common import crc_of_id, hash_share, held
 
 #: Characters learned per language, at most.
 SAMPLE_CHARS = 20_000
+#: Characters of a piece, and documents per language that pieces come from, about.
+PIECE, DOCUMENTS = 250, 512
 #: Bits that name any character.
 LITERAL = np.log2(0x110000)
 #: Entries of the flat transition tables of a model together; automata beyond it are sparse.
@@ -150,7 +152,8 @@ class LanguageModel:
             self.own.append(own)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of a softmax over negative bits per character."""
+        """The language and its share of a softmax over negative bits per character; a
+        language whose parse stopped is below e^-4 of the best and has no weight."""
         clean = normalise(text)
         if not clean or not self.automata:
             return "und", 0.0
@@ -165,27 +168,18 @@ class LanguageModel:
         # The language likely to win, by a first look, is parsed first; another one is out as soon
         # as its count, which only grows, puts it HOPELESS behind the best. The winner is that of full counts.
         glance = [a.phrases(c[:200]) * u * len(every) / min(200, len(every)) + x for a, c, u, x in zip(self.automata, coded, unit, literal)]
-        bits, best = np.zeros(len(unit)), float("inf")
+        bits, best = np.full(len(unit), np.inf), float("inf")
         for i in np.argsort(glance, kind="stable"):
-            bits[i] = self.automata[i].phrases(coded[i], (best + HOPELESS - literal[i]) / unit[i]) * unit[i] + literal[i]
-            best = min(best, bits[i])
+            found = self.automata[i].phrases(coded[i], (best + HOPELESS - literal[i]) / unit[i]) * unit[i] + literal[i]
+            best = min(best, found)
+            bits[i] = found if found <= best + HOPELESS else np.inf
+        bits[bits > best + HOPELESS] = np.inf  # what an earlier best let pass
         winner = int(bits.argmin())
         return self.languages[winner], float(1 / np.exp((best - bits) / SHARPNESS).sum())
 
 
-_MODELS: dict = {}
-
-
-def _model(samples) -> LanguageModel:
-    """Built once per Python worker from the broadcast samples."""
-    if samples.value["key"] not in _MODELS:
-        _MODELS.clear()
-        _MODELS[samples.value["key"]] = LanguageModel(samples.value["texts"])
-    return _MODELS[samples.value["key"]]
-
-
 def _predict(batches: Iterator[pa.RecordBatch], samples, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    model = _model(samples)
+    model = held(("languages", samples.value["key"]), lambda: LanguageModel(samples.value["texts"]))
     for batch in batches:
         found = [model.predict(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -194,18 +188,26 @@ def _predict(batches: Iterator[pa.RecordBatch], samples, columns: list[str]) ->
 
 def learn_samples(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Sample text per language from ``labelled(doc_id, text, lang)``: ``chars`` normalised
-    characters of documents in a seeded order. Per language the share of documents that holds some 8 * ``chars``
-    characters is chosen by a hash, so that much is collected per language."""
-    part = F.substring("text", 1, 2 * chars)
-    rows = (labelled.where("text is not null and lang is not null and doc_id is not null")
-            .select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), "text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.char_length(part)).alias("chars"))
-    shares = sizes.select("lang", F.least(F.lit(1.0), 8.0 * chars / F.greatest(F.lit(1), "chars")).alias("share"))
-    some = rows.join(F.broadcast(shares), "lang").where(hash_share(F.col("h"), F.col("share")))
+    characters in pieces of ``PIECE``, in a seeded order. Documents are chosen by hash, some
+    ``DOCUMENTS`` of a language or all it has; each whole text is cut into even stretches
+    and gives a piece from a place in each, as many as make some 4 * ``chars`` characters of
+    the language. So no text is a whole sample, none gives its beginning only, and a
+    language with a document that holds a letter has a sample."""
+    named = labelled.where("text is not null and lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = named.select("lang", F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.char_length("text").alias("size"), "text")
+    n = F.count(F.lit(1))
+    shares = rows.groupBy("lang").agg(n.alias("n")).select(
+        "lang", F.least(F.lit(1.0), DOCUMENTS / F.col("n")).alias("share"), F.ceil(4.0 * chars / PIECE / F.least(F.col("n"), F.lit(DOCUMENTS))).cast("int").alias("most"))
+    some = rows.join(F.broadcast(shares), "lang").where(hash_share(F.col("h"), F.col("share")))  # one row per language
+    count = F.least("most", F.ceil(F.col("size") / PIECE).cast("int"))
+    cut = some.select("lang", "h", "size", "text", count.alias("count"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    stretch = F.floor(F.col("size") / F.col("count")).cast("int")
+    start = F.col("i") * stretch + F.pmod(F.xxhash64("h", "i"), F.greatest(F.lit(1), stretch - PIECE + 1)).cast("int") + 1
+    pieces = cut.select("lang", F.xxhash64("i", "h").alias("place"), F.substr("text", start, F.lit(PIECE)).alias("piece"))
     out: dict[str, str] = {}
-    for lang, _, text in sorted(some.select("lang", "h", part.alias("text")).collect()):
+    for lang, _, piece in sorted(pieces.collect()):
         if len(out.get(lang, "")) < chars:
-            out[lang] = (out.get(lang, "") + normalise(text))[:chars]
+            out[lang] = (out.get(lang, "") + normalise(piece))[:chars]
     return {lang: text for lang, text in out.items() if text}
 
 
