@@ -22,20 +22,25 @@ an empty table writes no ids; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stages, text_key
+from .common import Stages, byte_pieces, byte_table, held, per_text, ship_file, shipped, space_parts, spans_of, text_key, translated
 
 BLOCK, MAGIC = 1 << 14, b"TOKFWB01"
+#: Bytes of text that a task encodes at a time.
+PIECE_BYTES = 8 << 20
+_LINES = byte_table(space="\n")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -44,11 +49,15 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits in (8, 16, 32):  # the same bytes without taking the bits apart
+        return ids.astype(f"<u{bits // 8}").tobytes()
     spread = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(spread.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
 
 
 def unpack(raw: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{bits // 8}", n).astype(np.uint32)
     spread = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     padded = np.zeros((n, 32), np.uint8)
     padded[:, :bits] = spread
@@ -141,62 +150,87 @@ class TokenReader:
         self.file.close()
 
 
+#: What may stand in a normaliser under which text can be cut at white space: none of
+#: these moves or joins characters across it.
+_PLAIN = {"NFC", "NFD", "Lowercase", "Replace"}
+
+
+def drops_white_space(tokenizer) -> bool:
+    """Whether a tokenizer's own definition allows to encode a text cut at spaces and line
+    feeds: its normaliser leaves white space in place, its pre-tokeniser keeps only
+    matches of a pattern, none of which holds white space, and no added token does."""
+    made = json.loads(tokenizer.to_str())
+    normaliser, pre = made["normalizer"] or {"type": "Sequence", "normalizers": []}, made["pre_tokenizer"] or {}
+    steps = normaliser["normalizers"] if normaliser["type"] == "Sequence" else [normaliser]
+    first = pre["pretokenizers"][0] if pre.get("type") == "Sequence" else pre
+    keeps = (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+    for step in steps:
+        keeps &= step["type"] in _PLAIN and (step["type"] != "Replace" or (step["pattern"], step["content"]) == ({"Regex": r"\s+"}, " "))
+    for token in made["added_tokens"]:
+        keeps &= not (token["lstrip"] or token["rstrip"] or token["single_word"] or any(c.isspace() for c in token["content"]))
+    if not keeps:
+        return False
+    signs = [chr(c) for c in range(33, 127)] + ["é", "e\u0301", "日", "\u0301", "٣"]
+    return all(tokenizer.encode(f"{x}{gap}{y}", add_special_tokens=False).ids == tokenizer.encode(x, add_special_tokens=False).ids + tokenizer.encode(y, add_special_tokens=False).ids
+               for x in signs for y in ("a", "'", "s", "7", "-", "\u0301", "日") for gap in (" ", "\n"))
+
+
 class WordEncoder:
-    """Encodes whole texts with a tokenizer whose pre-tokeniser never joins words
-    across a space or line feed, so that a word's ids can be remembered: up to two
-    generations of ``limit`` words, of which the older goes when the newer is full.
-    ``by_word=False`` hands whole texts to the tokenizer."""
+    """Encodes whole texts; where the tokenizer's definition shows that it never joins
+    anything across a space or line feed (:func:`drops_white_space`), each distinct word of
+    a batch once, remembering up to two generations of ``limit`` words, of which the
+    older goes when the newer is full. Otherwise, or with ``by_word=False``, the tokenizer
+    gets the texts as they are."""
 
-    def __init__(self, path: str, end_id: int, by_word: bool = True, limit: int = 400_000):
+    def __init__(self, path: str, end_id: int, by_word: bool = True, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.by_word, self.limit, self.known, self.older = by_word, limit, {}, {}
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            found = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
-            return [np.frombuffer(np.array(e.ids, "<u4").tobytes() + self.end, "<u4") for e in found]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.end_id, self.by_word = end_id, by_word and drops_white_space(self.tokenizer)
+        self.limit, self.known, self.older = limit, {}, {}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as bytes."""
         if len(self.known) >= self.limit:
             self.known, self.older = {}, self.known
-        known, fresh = self.known, []
-        for word in {w for words in split for w in words} - known.keys():
-            if (ids := self.older.get(word)) is None:
-                fresh.append(word)
-            else:
-                known[word] = ids
+        known, older = self.known, self.older
+        fresh = [w for w in words if w not in known and (w not in older or known.setdefault(w, older[w]) is None)]
         for word, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             known[word] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4") for words in split]
-
-
-_ENCODERS: dict = {}
-
-
-def _encoder(*key) -> WordEncoder:
-    """Loaded once per Python worker, which runs many tasks."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(*key)
-    return _ENCODERS[key]
-
-
-def _write(batches: Iterator[pd.DataFrame], folder: str, tokenizer: str, end_id: int, by_word: bool) -> Iterator[pd.DataFrame]:
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(firsts, ids)`` of texts without nulls in a row, the end id after each."""
+        if self.by_word:
+            starts, parts = space_parts(translated(texts, _LINES))
+            coded = parts.dictionary_encode()
+            found, index = self._words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        else:
+            found, index, starts = [], np.arange(len(texts)), np.arange(len(texts) + 1)
+            for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+                found.append(np.array(e.ids, "<u4").tobytes())
+        sizes, flat = np.array([len(f) for f in found], np.int64) // 4, np.frombuffer(b"".join(found), "<u4")
+        at, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        n = per_text(lengths, starts) + 1
+        ends = np.cumsum(n)
+        ids = np.full(ends[-1] if len(n) else 0, self.end_id, "<u4")
+        ids[spans_of(ends - n, n - 1)] = flat[spans_of(at, lengths)]
+        return np.r_[0, ends], ids
+
+
+def _write(batches, folder: str, tokenizer: str, end_id: int, by_word: bool):
     task = TaskContext.get()
-    encoder = _encoder(tokenizer, end_id, by_word)
+    encoder = held(("token files", tokenizer, end_id, by_word), lambda: WordEncoder(shipped(tokenizer), end_id, by_word))
     name = f"{folder}/part-{task.partitionId():08d}.tok"
     writer = TokenWriter(name, max(encoder.vocabulary, end_id + 1), str(task.taskAttemptId()))
-    for rows in batches:
-        ids, texts = rows["doc_id"].tolist(), rows["text"].tolist()
-        for at in range(0, len(ids), 256):
-            for doc_id, known, tokens in zip(ids[at : at + 256], rows["named"].iloc[at : at + 256], encoder.encode(texts[at : at + 256])):
-                writer.add(int(doc_id) if known else None, tokens)
+    for batch in byte_pieces(batches, "text", PIECE_BYTES):
+        firsts, ids = encoder.encode(batch["text"])
+        for doc_id, known, a, b in zip(batch["doc_id"].to_pylist(), batch["named"].to_pylist(), firsts[:-1].tolist(), firsts[1:].tolist()):
+            writer.add(doc_id if known else None, ids[a:b])
     writer.close()
-    yield pd.DataFrame({"part": [task.partitionId()], "path": [name], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.firsts[-1]]})
+    yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [name], "n_docs": pa.array([len(writer.doc_ids)], pa.int64()), "n_ids": pa.array([writer.firsts[-1]], pa.int64())})
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_word: bool = True) -> DataFrame:
@@ -206,7 +240,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, tokeniz
                        F.coalesce("text", F.lit("")).alias("text"), *text_key(F.col("text")))
     order = ["named", "doc_id", "t1", "t2"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "named", "text")
-    manifest = dealt.mapInPandas(lambda b: _write(b, folder, tokenizer, end_id, by_word), "part int, path string, n_docs bigint, n_ids bigint")
+    shipped_as = ship_file(spark, tokenizer)
+    manifest = dealt.mapInArrow(lambda b: _write(b, folder, shipped_as, end_id, by_word), "part int, path string, n_docs bigint, n_ids bigint")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
