@@ -1,7 +1,11 @@
 """Dense global positions without a one-partition sort (recipe R1).
 
 ``row_number() OVER (ORDER BY ...)`` with no PARTITION BY moves every row to
-one task. Instead:
+one task. :func:`range_index` deals rows out by ranges of the sort key instead, stores
+them sorted, and adds the row counts of the earlier ranges: one shuffle, and a table of
+offsets no longer than the number of ranges, whatever the values.
+
+:func:`global_index` serves where a natural bucket is at hand:
 
 1. give each row an order-preserving *bucket* (a coarse prefix of the sort
    key: sorting by bucket never contradicts sorting by the full key);
@@ -24,6 +28,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written_stage
+
 
 def global_index(df: DataFrame, bucket: Column | Sequence[Column], order: Sequence[Column],
                  bucket_order: Sequence[Column] | None = None, out: str = "idx",
@@ -80,26 +86,53 @@ def _null_safe_on(names):
     return cond
 
 
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 1024,
-                    rel_error: float = 0.001) -> Column:
-    """An order-preserving bucket of a numeric column from approximate
-    quantiles (a bounded list of boundaries computed by one pass; the
-    same idea as range partitioning). Any boundaries give exact positions;
-    good ones give even buckets."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(b for b in df.approxQuantile(col, probs, rel_error) if b is not None))
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    c = F.col(col).cast("double")
-    return F.size(F.filter(arr, lambda b: b <= c))
-
-
-def ordered_index(df: DataFrame, col: str, out: str = "idx", n_buckets: int = 1024) -> DataFrame:
-    """0-based position of every row in ``col`` order (ties broken by nothing
-    else: ``col`` should be a key), without a single-task sort."""
-    return global_index(df, bucket=[quantile_bucket(df, col, n_buckets)],
-                        order=[F.col(col)], out=out)
+#: Place of a stored row: 33 low bits count rows inside a range, the bits above name it.
+PLACE, RANGE_BITS = "_place", 33
+
+
+def stored_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` dealt out by ranges of ``order``, sorted, and written with each row's ``_place``
+    (range number, then position inside the range). Spark samples the range bounds, so
+    ranges are even whatever the values; equal keys alone share a range. Once written, a
+    place does not change."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written_stage(ranges.withColumn(PLACE, F.monotonically_increasing_id()), "ranges")
+
+
+def range_offsets(stored: DataFrame, *sums: str) -> DataFrame:
+    """One row per range: ``_range``, ``_before`` (rows of all earlier ranges) and, per column
+    of ``sums``, ``<column>_before`` (its sum there). The running sum is over the ranges,
+    which are no more than the shuffle's partitions."""
+    per_range = stored.groupBy(F.shiftright(PLACE, RANGE_BITS).alias("_range")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    return per_range.select("_range", total("_rows").alias("_before"), *[total(f"_s_{c}").alias(f"{c}_before") for c in sums])
+
+
+def with_position(stored: DataFrame, out: str = "idx") -> DataFrame:
+    """Rows of :func:`stored_ranges` with ``out``, the 0-based position over all ranges."""
+    offsets = F.broadcast(range_offsets(stored))  # one row per range
+    placed = stored.withColumn("_range", F.shiftright(PLACE, RANGE_BITS)).join(offsets, "_range")
+    inside = F.col(PLACE).bitwiseAND(F.lit((1 << RANGE_BITS) - 1))
+    return placed.withColumn(out, F.col("_before") + inside).drop("_range", "_before", PLACE)
+
+
+def range_index(df: DataFrame, order: Sequence[Column], out: str = "idx", restart_on: Sequence[str] = ()) -> DataFrame:
+    """Add ``out`` = 0-based position of each row in ``order`` by one range shuffle, with an
+    offset per range. ``restart_on`` names leading columns of ``order``, never null, whose
+    values each begin at 0 again (per-group positions): the first position of a group is
+    found by a partial and a final minimum."""
+    placed = with_position(stored_ranges(df, order), out)
+    if not restart_on:
+        return placed
+    firsts = placed.groupBy(*restart_on).agg(F.min(out).alias("_first"))
+    return placed.join(firsts, list(restart_on)).withColumn(out, F.col(out) - F.col("_first")).drop("_first").select(*df.columns, out)
+
+
+def ordered_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
+    """0-based position of every row in ``col`` order (``col`` should be a key)."""
+    return range_index(df, [F.col(col)], out)
 
 
 def running_sum(df: DataFrame, order_col: str, value_col: str, out: str = "running",

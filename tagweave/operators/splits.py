@@ -1,10 +1,9 @@
 """Deterministic order, dataset splits, batches and epochs.
 
 The file order is MD5 of the torrent hash (NULLs first) then key. The
-position in that order comes from the two-level index of
-:mod:`tagweave.operators.ranking` with MD5 prefixes as buckets -- MD5 hex is
-uniform, so buckets are even and each is one window task. Split membership
-and in-split positions are then pure arithmetic on that index.
+position in that order comes from the range index of
+:mod:`tagweave.operators.ranking`: ranges are even also where many files have no hash.
+Split membership and in-split positions are then pure arithmetic on that index.
 """
 
 from __future__ import annotations
@@ -14,23 +13,15 @@ from pyspark.sql import functions as F
 
 from ..config import CaptionConfig
 from ..functions.random import hash_key
-from .ranking import global_index
+from .ranking import range_index
 
 KEY = ["booru", "fid"]
-MD5_PREFIX = 3  # 4,096 buckets (+ NULL); enough for ~1e10 rows at ~2.5M per bucket
 
 
-def md5_index(files: DataFrame, prefix: int = MD5_PREFIX, out: str = "idx") -> DataFrame:
-    """Position of each file in (torr_md5 NULLS FIRST, booru, fid) order."""
-    md5 = F.col("torr_md5")
-    # NULL and '' share the first bucket (both sort before any other prefix;
-    # inside the bucket NULLs still come first), so buckets are non-null and
-    # the offset join reuses the bucket partitioning. For hex hashes there are
-    # at most 16^prefix + 1 buckets; the column is not validated as hex, so
-    # the offset table is broadcast by AQE's measured size, not by a hint.
-    return global_index(
-        files, bucket=[F.coalesce(F.substring(md5, 1, prefix), F.lit(""))],
-        order=[md5.asc_nulls_first(), F.col("booru").asc(), F.col("fid").asc()], out=out)
+def md5_index(files: DataFrame, out: str = "idx") -> DataFrame:
+    """Position of each file in (torr_md5 NULLS FIRST, booru, fid) order (O1, W1). Files
+    without a hash are ranges of their own keys like all others."""
+    return range_index(files, [F.col("torr_md5").asc_nulls_first(), F.col("booru").asc(), F.col("fid").asc()], out)
 
 
 def files_from_nth(indexed: DataFrame, start: int) -> DataFrame:
@@ -38,11 +29,6 @@ def files_from_nth(indexed: DataFrame, start: int) -> DataFrame:
     return indexed.where(F.col("idx") >= start)
 
 
-def first_n(indexed: DataFrame, n: int) -> DataFrame:
-    """Ordered top-n (O3) on the precomputed index: a filter, no sort."""
-    return indexed.where(F.col("idx") < n)
-
-
 def assign_splits(indexed: DataFrame, cfg: CaptionConfig = CaptionConfig()) -> DataFrame:
     """Add ``split`` and ``split_idx``.
 
@@ -84,14 +70,9 @@ def slice_percent(indexed: DataFrame, n: int, lo_pct: float | None,
 
 def renumber(df: DataFrame, group: str = "split", order: str = "split_idx",
              out: str = "pos") -> DataFrame:
-    """Dense 0-based position per ``group`` in ``order`` after rows were dropped.
-
-    Two-level index with buckets ``(group, floor(order / 4096))`` restarting per
-    group: exact, and no single task holds a whole split. ``group`` and
-    ``order`` must not be NULL (true for splits and in-split positions).
-    """
-    return global_index(df, bucket=[F.col(group), F.floor(F.col(order) / 4096)],
-                        order=[F.col(order)], out=out, restart_on=1, non_null_buckets=True)
+    """Dense 0-based position per ``group`` in ``order`` after rows were dropped.
+    ``group`` and ``order`` must not be NULL (true for splits and in-split positions)."""
+    return range_index(df, [F.col(group), F.col(order)], out, restart_on=[group])
 
 
 def batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
@@ -100,14 +81,6 @@ def batches(df: DataFrame, batch_size: int, pos: str = "pos") -> DataFrame:
              .withColumn("pos_in_batch", (F.col(pos) % batch_size).cast("int"))
 
 
-def full_batches(df: DataFrame, counts: DataFrame, batch_size: int, group: str = "split",
-                 pos: str = "pos") -> DataFrame:
-    """Fixed batches with the remainder dropped (W7); ``counts`` = (group, n)."""
-    small = F.broadcast(counts.select(group, F.col("n").alias("_n")))
-    return (batches(df, batch_size, pos).join(small, group)
-            .where(F.col("batch_id") < F.floor(F.col("_n") / batch_size)).drop("_n"))
-
-
 def host_shard(df: DataFrame, batch_size: int, hosts: int) -> DataFrame:
     """Host slice of each batch: equal parts, host i takes part i."""
     per_host = batch_size // hosts
@@ -132,14 +105,9 @@ def epoch_batches(df: DataFrame, batch_size: int) -> DataFrame:
 
 def permutation_index(df: DataFrame, seed: int, epoch_col: str = "epoch", id_col: str = "pos",
                       out: str = "perm") -> DataFrame:
-    """Per-epoch random permutation (O11): position in ``md5(seed|epoch|id)``
-    order, numbered with the two-level index (hash prefixes are even buckets)."""
-    h = hash_key(seed, F.col(epoch_col), F.col(id_col))
-    keyed = df.withColumn("_h", h)
-    ranked = global_index(keyed, bucket=[F.col(epoch_col), F.substring("_h", 1, 3)],
-                          order=[F.col("_h"), F.col(id_col)], out=out, restart_on=1,
-                          non_null_buckets=True)
-    return ranked.drop("_h")
+    """Per-epoch random permutation (O11): position in ``md5(seed|epoch|id)`` order."""
+    keyed = df.withColumn("_h", hash_key(seed, F.col(epoch_col), F.col(id_col)))
+    return range_index(keyed, [F.col(epoch_col), F.col("_h"), F.col(id_col)], out, restart_on=[epoch_col]).drop("_h")
 
 
 def wraparound(df: DataFrame, count: int, limit: int, pos: str = "pos") -> DataFrame:

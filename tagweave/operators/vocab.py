@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from ..config import (COSPLAY, EOS_TOKEN, EXTRA_ID_FORMAT, GENERAL_TOKEN_MIN, NAME_LABEL_MIN,
                       PAD_TOKEN, QUALIFIER_PATTERN, SHORT_LABEL_MAX, UNK_TOKEN)
 from ..functions.text import awk_truthy, char_length, col_, split_delimiters
-from .ranking import global_index
+from .ranking import range_index
 
-RANK_BLOCK = 4096  # rows per bucket when re-numbering an already ranked list
 
 
 def peel_qualifiers(label) -> Column:
@@ -83,13 +82,7 @@ def general_token_counts(label_prevalence: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, count_col: str, token_col: str, token_desc: bool) -> DataFrame:
     """``rank`` = position in (count desc, token desc|asc), 0-based, exact."""
     tok = F.col(token_col)
-    tok_order = tok.desc() if token_desc else tok.asc()
-    prefix = F.substring(tok, 1, 2)
-    return global_index(
-        df, bucket=[F.col(count_col), prefix],
-        order=[tok_order],
-        bucket_order=[F.col("_b0").desc(), F.col("_b1").desc() if token_desc else F.col("_b1").asc()],
-        out="rank")
+    return range_index(df, [F.col(count_col).desc(), tok.desc() if token_desc else tok.asc()], "rank")
 
 
 def general_tokens(token_counts: DataFrame, min_count: int = GENERAL_TOKEN_MIN) -> DataFrame:
@@ -127,11 +120,8 @@ def extra_id_tokens(spark: SparkSession, n: int, origin: int = 3) -> DataFrame:
 
 
 def _number(entries: DataFrame, group: str = "origin") -> DataFrame:
-    """Dense ids in (group, rank) order, via the two-level global index."""
-    return global_index(
-        entries, bucket=[F.col(group), F.floor(F.col("rank") / RANK_BLOCK)],
-        order=[F.col("rank")], out="id",
-    ).select(F.col("id").cast("int").alias("id"), "token", "origin")
+    """Dense ids in (group, rank) order."""
+    return range_index(entries, [F.col(group), F.col("rank")], "id").select(F.col("id").cast("int").alias("id"), "token", "origin")
 
 
 def registry_a(spark: SparkSession, label_toks: DataFrame, general_toks: DataFrame,
@@ -180,8 +170,7 @@ def add_tokens(registry: DataFrame, new_tokens: DataFrame) -> DataFrame:
     """
     fresh = new_tokens.select("token").distinct().join(registry.select("token"), "token",
                                                         "left_anti")
-    numbered = global_index(fresh, bucket=[F.substring("token", 1, 2)], order=[F.col("token")],
-                            out="pos")
+    numbered = range_index(fresh, [F.col("token")], "pos")
     existing = registry.select(F.lit(0).alias("part"), F.col("id").cast("long").alias("rank"),
                                "token", "origin")
     added = numbered.select(F.lit(1).alias("part"), F.col("pos").alias("rank"), "token",
@@ -203,6 +192,7 @@ class Vocabulary:
     unk_id: int
     eos_id: int | None = None
     rows: int | None = None   # row count once written
+    size: int | None = None   # bytes of its tokens once written
 
     @property
     def unk_token(self) -> str:

@@ -8,7 +8,7 @@ from ..config import SpanConfig
 from ..operators import features as fe
 from ..operators import splits as sp
 from ..operators.captions import caption_feed
-from ..operators.ranking import global_index, ordered_index
+from ..operators.ranking import ordered_index, range_index
 from ..sources.tables import read_table, tag_corpus
 from .catalog import query
 from .q_captions import CFG as CAP_CFG
@@ -109,8 +109,7 @@ def q_mlm_batches(spark, sf_dir):
     the remainder dropped, and the host slice of each batch (2 hosts)."""
     _, chunks = chunk_table(spark, sf_dir)
     ids = chunks.select("group", "chunk")
-    numbered = global_index(ids, bucket=[F.col("group"), F.floor(F.col("chunk") / 4096)],
-                            order=[F.col("chunk")], out="pos")
+    numbered = range_index(ids, [F.col("group"), F.col("chunk")], "pos")
     count = numbered.count()
     rep = sp.epochs(numbered, EPOCHS, count)
     perm = sp.permutation_index(rep, SPAN.seed, "epoch", "pos", "perm")
@@ -136,9 +135,7 @@ def q_chunk_epoch_batches(spark, sf_dir):
     """Three epochs of the chunks in order, batches of 10 over the running
     position; a batch that straddles two epochs takes its first row's epoch (W8)."""
     _, chunks = chunk_table(spark, sf_dir)
-    numbered = global_index(chunks.select("group", "chunk"),
-                            bucket=[F.col("group"), F.floor(F.col("chunk") / 4096)],
-                            order=[F.col("chunk")], out="pos")
+    numbered = range_index(chunks.select("group", "chunk"), [F.col("group"), F.col("chunk")], "pos")
     count = numbered.count()
     out = sp.epoch_batches(sp.epochs(numbered, 3, count), 10)
     return out.select(F.col("epoch").cast("int"), F.col("group").cast("long"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import global_index
+from ..operators.ranking import range_index
 
 EXTENSIONS = ("csv", "json", "txt")
 
@@ -29,12 +29,19 @@ def train_and_validation(spark: SparkSession, train_file: str, validation_file:
     train = load_by_extension(spark, train_file)
     if validation_file is not None:
         return train, load_by_extension(spark, validation_file)
-    lines = train.withColumn("_mid", F.monotonically_increasing_id())  # in split and line order
-    numbered = global_index(lines, bucket=[F.shiftright("_mid", 33)], order=[F.col("_mid")], out="_idx").drop("_mid")
+    numbered = in_file_order(train, "_idx")
     cut = train.count() * validation_pct // 100
     return numbered.where(F.col("_idx") >= cut).drop("_idx"), numbered.where(F.col("_idx") < cut).drop("_idx")
 
 
+def in_file_order(rows: DataFrame, out: str) -> DataFrame:
+    """Rows as a file source reads them, with ``out``, their 0-based position by file name,
+    then line: inside a block of a file, rows are read in order by one task."""
+    places = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_line"))
+    return range_index(places, [F.col(c) for c in ("_file", "_block", "_line")], out).drop("_file", "_block", "_line")
+
+
 def load_by_extension(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
     """csv / json / txt file(s) -> DataFrame; ``txt`` lines land in ``text``."""
     ext = extension or path.rsplit(".", 1)[-1]
@@ -70,12 +77,6 @@ def read_token_list(spark: SparkSession, path: str) -> DataFrame:
     """One token per line -> ``(rank, token)`` in line order, blank lines dropped
     (S10). Compressed files (``.gz``) are read natively.
 
-    Line order is taken from ``monotonically_increasing_id`` of a plain text
-    scan (increasing with split and position) and turned into dense ranks with
-    the two-level index; lists we write ourselves carry ``rank`` explicitly.
+    Several files follow one another by name; lists we write ourselves carry ``rank``.
     """
-    lines = (spark.read.text(path).withColumn("_mid", F.monotonically_increasing_id())
-             .where(F.col("value") != ""))
-    ranked = global_index(lines, bucket=[F.shiftright("_mid", 33)], order=[F.col("_mid")],
-                          out="rank")
-    return ranked.select("rank", F.col("value").alias("token"))
+    return in_file_order(spark.read.text(path).where(F.col("value") != ""), "rank").select("rank", F.col("value").alias("token"))
