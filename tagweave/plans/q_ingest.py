@@ -7,20 +7,16 @@ line); the queries then run the whole ingest on them.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..session import scratch_path
 from ..sources import tsv
-from ..sources.tables import read_table, tag_corpus
+from ..sources.store import RESULTS
+from ..sources.tables import SOURCES, read_table, table_paths, tag_corpus
 from .catalog import query
 from .oracle_sql import with_corpus
 
 SHARDS = ("2021", "2022")
-_RAW: dict = {}
 
 
 def _write_tsv(df, path):
@@ -30,11 +26,11 @@ def _write_tsv(df, path):
 
 
 def raw_shards(spark, sf_dir) -> dict:
-    """Paths of the raw TSV shards (written once per application)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key in _RAW:
-        return _RAW[key]
-    base = scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}")
+    """Paths of the raw TSV shards, written once per application and input."""
+    return RESULTS.get(spark, "raw", table_paths(sf_dir, *SOURCES), lambda base, files: _write_shards(spark, sf_dir, base))
+
+
+def _write_shards(spark, sf_dir, base: str) -> dict:
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority",
                         "o_orderstatus", "o_totalprice")
     k = F.col("o_orderkey")
@@ -70,7 +66,6 @@ def raw_shards(spark, sf_dir) -> dict:
         _write_tsv(files.where(F.col("_shard") == shard).drop("_shard"), fp)
         _write_tsv(tag_rows.where(F.col("_shard") == shard).drop("_shard"), tp)
         paths["files"][shard], paths["tags"][shard] = fp, tp
-    _RAW[key] = paths
     return paths
 
 

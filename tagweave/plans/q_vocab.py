@@ -8,7 +8,8 @@ from ..config import EOS_TOKEN, PAD_TOKEN, UNK_TOKEN
 from ..operators import tagstats as ts
 from ..operators import tokenize as tk
 from ..operators import vocab as vb
-from ..sources.tables import documents, tag_corpus
+from ..sources.store import RESULTS
+from ..sources.tables import SOURCES, documents, table_paths, tag_corpus
 from .catalog import query
 from .oracle_sql import ascii_lower_sql, with_corpus
 
@@ -37,15 +38,10 @@ def text_registry_b(spark, sf_dir):
     return vb.registry_b(spark, lab, words)
 
 
-_VOCABS: dict = {}
-
-
 def _memo(spark, sf_dir, kind, build):
-    import os
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
-    if key not in _VOCABS:
-        _VOCABS[key] = build()
-    return _VOCABS[key]
+    """Built once per application and state of its input tables."""
+    inputs = table_paths(sf_dir, *SOURCES, *["documents"] * (kind == "b"))
+    return RESULTS.get(spark, f"vocab-{kind}", inputs, lambda folder, files: build())
 
 
 def tag_vocabulary(spark, sf_dir) -> vb.Vocabulary:

@@ -5,12 +5,18 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tagweave.operators import captions as cp
 from tagweave.operators import spans as sp
 from tagweave.operators.ranking import PLACE, RANGE_BITS, range_index, range_offsets, stored_ranges
 from tagweave.operators.splits import md5_index
 from tagweave.operators.tokenize import materialize_vocab, tokenize_text
+from tagweave.plans import q_vocab
 from tagweave.plans.catalog import all_oracles, all_queries
 from tagweave.sources.datasets import in_file_order, load_by_extension, read_token_list, train_and_validation
+from tagweave.sources.store import ResultCache, listing
+from tagweave.sources.tables import derive_tag_corpus, tag_corpus
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_range_index_equals_row_number(spark):
@@ -132,3 +138,45 @@ def test_percent_slices_follow_file_names_and_lines(spark, tmp_path):
     assert [r.text for r in lines] == want == [r.token for r in tokens] and [r.n for r in lines] == list(range(3020))
     assert sorted(r.text for r in validation.collect()) == sorted(want[:302])
     assert sorted(r.text for r in train.collect()) == sorted(want[302:])
+
+
+def key_exchanges(df):
+    """Exchanges by file key in the physical plan, without those of small label tables."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Exchange hashpartitioning(booru" in x]
+
+
+def test_bucketed_corpus_needs_no_exchange_by_file(spark):
+    corpus, vocab = tag_corpus(spark, SMALL), q_vocab.tag_vocabulary(spark, SMALL)
+    assert key_exchanges(cp.caption_candidates(corpus.tags, vocab)) == []
+    joined = corpus.tags.hint("merge").join(corpus.files, ["booru", "fid"])
+    assert key_exchanges(joined) == [] and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    per_file = corpus.tags.groupBy("booru", "fid").count()
+    assert "Exchange" not in per_file._jdf.queryExecution().executedPlan().toString()
+    plain = derive_tag_corpus(spark, SMALL)
+    assert sorted(map(tuple, corpus.files.collect()), key=repr) == sorted(map(tuple, plain.files.collect()), key=repr)
+    assert corpus.tags.exceptAll(plain.tags).count() == 0 == plain.tags.exceptAll(corpus.tags).count()
+
+
+def test_stored_results_follow_their_inputs(spark, tmp_path):
+    """Built again for changed input, other parameters or the flag; else read."""
+    cache, built = ResultCache(), []
+    source = f"{tmp_path}/in.parquet"
+
+    def get(n=1, **more):
+        def build(folder, files):
+            built.append(folder)
+            spark.read.parquet(source).selectExpr(f"id * {n} AS id").write.parquet(folder)
+            return folder
+        return sorted(r.id for r in spark.read.parquet(cache.get(spark, "x", [source], build, params=[n], **more)).collect())
+
+    spark.range(3).write.parquet(source)
+    assert get() == [0, 1, 2] == get() and len(built) == 1
+    assert get(2) == [0, 2, 4] and len(built) == 2
+    assert get(overwrite=True) == [0, 1, 2] and len(built) == 3
+    there = lambda path: listing(spark, path)[0][1] >= 0
+    assert not there(built[0]) and there(built[1]) and there(built[2])  # the one built again is gone
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert get() == [0, 1, 2, 3, 4] and len(built) == 4
+    cache.clear(spark)
+    assert not any(map(there, built)) and listing(spark, f"{tmp_path}/nothing") == [(f"{tmp_path}/nothing", -1, 0)]
