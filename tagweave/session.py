@@ -49,8 +49,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.driver.memory", f"{max(1, min(16, half))}g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    prepare(spark)
     return spark
 
 
@@ -119,8 +118,22 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, and Spark's default. Batches of
+#: whole texts are held by the JVM, the worker and the worker's results at the same time.
+ARROW_BYTES, ARROW_DEFAULT = 8 << 20, 64 << 20
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name in spark.conf.getAll and spark.conf.getAll[name].rstrip("b") != str(ARROW_DEFAULT):
+        return
+    spark.conf.set(name, str(ARROW_BYTES))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder + package shipping for a session we did not create."""
+    """Checkpoint folder, package shipping and batch size for a session we did not create."""
     ensure_checkpoint_dir(spark)
+    bound_arrow_batches(spark)
     ship_package(spark)
     return spark
