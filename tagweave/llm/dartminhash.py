@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Stages, WordHash, as_row, chunks, from_row, mix, shingles, signed, text_key
+from .common import WORD, Stages, WordHash, as_row, chunks, from_row, held, mix, shingles, signed, text_key
 from .graph import connected_components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -136,7 +136,7 @@ def agreement(x: str, y: str, n_values: int) -> Column:
 
 
 def _sign(batches: Iterator[pd.DataFrame], k: int, bands: int, rows_per_band: int) -> Iterator[pd.DataFrame]:
-    cache = WordHash()
+    cache = held("words", WordHash)
     for rows in batches:
         texts = rows["text"].tolist()
         for a, b in chunks([len(t or "") for t in texts], 1 << 20):
@@ -159,7 +159,7 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
 
 
 def _compare(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    cache, seen = WordHash(), {}
+    cache, seen = held("words", WordHash), {}
     for rows in batches:
         def weighted(key, text):
             if key not in seen:
@@ -176,7 +176,7 @@ def _compare(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 def _units(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     """The units of weight of each text: a hash per shingle and number of its occurrence,
     so that sizes of plain sets give the weighted index."""
-    cache = WordHash()
+    cache = held("words", WordHash)
     for rows in batches:
         out = []
         for text in rows["text"]:

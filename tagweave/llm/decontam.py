@@ -23,15 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Bloom, Stages, WordHash, as_row, from_row, lower_word, shingles, signed, text_key
+from .common import WORD, Bloom, Stages, WordHash, as_row, byte_pieces, coded_words, from_row, held, lower_word, shingles, signed, text_key
 
 WINDOW, SHINGLE = 10, 3
 #: Shingles of a run that are kept together, so that a long passage is many small rows.
 PIECE = 64
-_PIECES = "tokens:array<bigint>,pos:int,left:int,words:array<string>"
+#: Bytes of text that a task looks at at a time.
+PIECE_BYTES = 4 << 20
+_PIECES = pa.list_(pa.struct({"tokens": pa.list_(pa.int64()), "pos": pa.int32(), "left": pa.int32(), "words": pa.list_(pa.string())}))
 
 
 def _windows(batches: Iterator[pd.DataFrame], window: int, k: int) -> Iterator[pd.DataFrame]:
@@ -54,16 +57,6 @@ def item_windows(items: DataFrame, window: int = WINDOW, k: int = SHINGLE) -> Da
     return named.mapInPandas(lambda batches: _windows(batches, window, k), "item string, words array<string>, tokens array<bigint>")
 
 
-def _flat(texts, cache: WordHash):
-    """Words and hashes of a batch's texts in a row, and where each text begins."""
-    words: list[str] = []
-    starts = [0]
-    for text in texts:
-        words += WORD.findall(text or "")
-        starts.append(len(words))
-    return words, cache.of(words), np.array(starts)
-
-
 def _runs(hashes: np.ndarray, starts: np.ndarray, k: int, least: int, bloom: Bloom):
     """Stretches ``(text, first, after, tokens)`` of ``least`` or more shingles of ``k``
     words in a row that pass the filter within one text, by the positions of their first words."""
@@ -84,18 +77,18 @@ def _runs(hashes: np.ndarray, starts: np.ndarray, k: int, least: int, bloom: Blo
 def _locate(batches, least: dict[int, int], bloom, window: int):
     """Per text its word count and its pieces: up to ``PIECE`` shingles in a row with the
     words of their run that windows at them can cover."""
-    cache = WordHash()
-    for rows in batches:
-        words, hashes, starts = _flat(rows["text"], cache)
-        out: list[list[dict]] = [[] for _ in range(len(rows))]
+    held("decontam", lambda: None)
+    for batch in byte_pieces(batches, "text", PIECE_BYTES):
+        starts, index, dictionary, hashes = coded_words(batch["text"].fill_null(""))
+        out: list[list[dict]] = [[] for _ in range(len(batch))]
         for k, n in least.items():
-            for i, first, after, tokens in _runs(hashes, starts, k, n, bloom.value):
+            for i, first, after, tokens in _runs(hashes[index], starts, k, n, bloom.value):
                 for a in range(first, after, PIECE):
                     b = min(a + PIECE, after)
                     low, high = max(first, a - window + 1), min(after - 1 + k, b - 1 + window)
                     out[i].append({"tokens": signed(tokens[a - first : b - first]).tolist(), "pos": a - int(starts[i]), "left": a - low,
-                                   "words": [lower_word(w) for w in words[low:high]]})
-        yield pd.DataFrame({"t1": rows["t1"], "t2": rows["t2"], "n_words": np.diff(starts), "pieces": out})
+                                   "words": dictionary.take(pa.array(index[low:high])).to_pylist()})
+        yield pa.RecordBatch.from_arrays([batch["t1"], batch["t2"], pa.array(np.diff(starts)), pa.array(out, _PIECES)], ["t1", "t2", "n_words", "pieces"])
 
 
 def _prefix_hits(batches, bloom, window: int):
@@ -118,7 +111,7 @@ def find_windows(spark: SparkSession, docs: DataFrame, items: DataFrame, stages:
     texts = docs.select(*text_key(F.col("text")), "text")
     token_rows = windows.select(F.explode("tokens").alias("token")).distinct()
     bloom = spark.sparkContext.broadcast(Bloom.build(token_rows, "token"))
-    located = stages.write(texts.mapInPandas(lambda b: _locate(b, least, bloom, window), f"t1 bigint, t2 bigint, n_words bigint, pieces array<struct<{_PIECES}>>"), "located")
+    located = stages.write(texts.mapInArrow(lambda b: _locate(b, least, bloom, window), "t1 bigint, t2 bigint, n_words bigint, pieces array<struct<tokens:array<bigint>,pos:int,left:int,words:array<string>>>"), "located")
     counts = located.select(F.explode(F.flatten("pieces.tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(token_rows, "token")
     counts = stages.write(counts, "counts")
     # The prefix token of each distinct window: the rarest shingle, and where it stands.
