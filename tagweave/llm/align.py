@@ -3,12 +3,13 @@
 Both id lists of a text are laid over its bytes. The cumulative byte ends of each list
 are a dictionary from end to index; the ends that both dictionaries hold (an
 intersection of hash sets), in order, slice both lists into groups, and the links of a
-slice, its pairs of tokens whose bytes overlap, are expanded by walking its inner ends.
+slice, its pairs of tokens whose bytes overlap, are expanded from its ends.
 
 A text is cut before every single space between two characters that are no white
 space, where neither tokenizer joins anything: such a cut is an end of both lists, so
 that a text's groups and links are those of its segments in a row. A segment is encoded
-and sliced once per batch of texts and remembered in bounded memory. Whether the two
+and sliced once per batch of texts, many of them with their bytes in a row, and
+remembered in bounded memory. Whether the two
 tokenizers allow it is read from their definitions when they are loaded
 (:func:`splits_at_spaces`); otherwise a text is one segment.
 
@@ -30,8 +31,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,9 @@ from .common import HEAVY, Stages, byte_pieces, heavy_and_tail, held, per_text,
 #: Bytes of text that are aligned at a time.
 PIECE_BYTES = 4 << 20
 #: Remembered segments of a task.
-KNOWN = 300_000
+KNOWN = 400_000
+#: New segments that are aligned at a time, and that are encoded as one text.
+AT_ONCE, JOINED = 50_000, 500
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -109,41 +111,87 @@ def splits_at_spaces(a: ByteBpe, b: PieceBpe) -> bool:
     return a.splits_at_spaces() and b.splits_at_spaces()
 
 
-def align(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups ``(a from, a to, b from, b to)`` between the common byte ends."""
-    index_a, index_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
-    out, i, j = [], 0, 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        out.append((i, i := index_a[end], j, j := index_b[end]))
-    return out
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of either list end at or before each common byte end, in order:
+    the keys that both dictionaries from end to index hold."""
+    index_a, index_b = dict(zip(ends_a.tolist(), count(1))), dict(zip(ends_b.tolist(), count(1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    return tuple(np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
 
 
-def expand(ends_a: list[int], ends_b: list[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
-    """Index pairs of the overlapping tokens of one group."""
-    i, i1, j, j1 = group
-    while True:
-        yield i, j
-        if i == i1 - 1 and j == j1 - 1:
-            return
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
+def expand(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, end)``: index pairs of the tokens that overlap, in order. Each end of either
+    list closes the last stretch of bytes that one pair shares."""
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort(kind="stable")
+    ends = ends[np.diff(ends, prepend=0) > 0]
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), ends
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and the length of each list."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum())), lengths
+
+
+class Spelling:
+    """The bytes of every token of a vocabulary in one row."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def equals(self, ids: np.ndarray, counts: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the joined bytes of each list of ``counts`` ids are its ``sizes`` bytes of ``text``."""
+        lengths = self.lengths[ids]
+        same = per_text(lengths, offsets(counts)) == sizes
+        of_ids = np.repeat(same, counts)
+        got = self.blob[spans_of(self.starts[ids[of_ids]], lengths[of_ids])]
+        same[same] = per_text((got != text[np.repeat(same, sizes)]).astype(np.int64), offsets(sizes[same])) == 0
+        return same
+
+
+def offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(lengths)]
+
+
+class Decimals:
+    """Decimal numbers as bytes."""
+
+    def __init__(self, size: int):
+        width = len(str(size))
+        names = [str(i).encode() for i in range(size)]
+        self.lengths = np.fromiter(map(len, names), np.int64, size)
+        self.digits = np.frombuffer(b"".join(n.ljust(width) for n in names), np.uint8).reshape(size, width)
+
+    def row(self, numbers: np.ndarray, marks: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The numbers in a row, a mark after each, and where each begins."""
+        lengths = self.lengths[numbers]
+        at = offsets(lengths + 1)
+        out = np.empty(at[-1], np.uint8)
+        for k in range(self.digits.shape[1]):
+            has = lengths > k
+            out[at[:-1][has] + k] = self.digits[numbers[has], k]
+        out[at[1:] - 1] = marks
+        return out.tobytes(), at
 
 
 class Aligner:
-    """Aligns segments and remembers up to about ``known`` of them."""
+    """Aligns segments and remembers up to about ``known`` of them, those met again for longer."""
 
     def __init__(self, path_a: str, path_b: str, known: int = KNOWN):
         self.a, self.b, self.limit = ByteBpe(path_a), PieceBpe(path_b), known
         self.split = splits_at_spaces(self.a, self.b)
-        self.lengths_a, self.lengths_b = [*map(len, self.a.bytes)], [*map(len, self.b.bytes)]
+        self.spell_a, self.spell_b = Spelling(self.a.bytes), Spelling(self.b.bytes)
+        self.decimals = Decimals(max(self.a.size, self.b.size))
         self._clear()
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[bytes] = []  # `a1,a2|b1;a3|b2,b3;`
         self.links, self.counts = array("q"), array("q")  # counts: n_a, n_b, n_groups, n_links, bytes equal
+        self.met = np.zeros(0, np.int32)  # batches that held a segment
 
     def segments(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """``(order, starts, parts)``: the segments of text ``order[i]``."""
@@ -151,7 +199,7 @@ class Aligner:
             return np.arange(len(texts)), np.arange(len(texts) + 1), texts
         starts, parts = space_parts(texts, keep_empty=True)
         coded = parts.dictionary_encode()
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in coded.dictionary.to_pylist()], bool)
+        odd = np.array([not w or w.strip() != w for w in coded.dictionary.to_pylist()], bool)
         mixed = per_text(odd[coded.indices.to_numpy()].astype(np.int64), starts) > 0
         if not mixed.any():
             return np.arange(len(texts)), starts, parts
@@ -162,30 +210,90 @@ class Aligner:
         return np.r_[plain, odd], np.r_[starts, starts[-1] + np.cumsum([len(s) for s in split])], pa.concat_arrays([parts, rest])
 
     def rows_of(self, segments: list[str]) -> np.ndarray:
-        if len(self.rows) + len(segments) > self.limit:
-            self._clear()
         fresh = [s for s in segments if s not in self.rows]
-        size_b = self.b.size
-        for segment, ids_a, ids_b in zip(fresh, self.a.encode(fresh), self.b.encode(fresh)):
-            ends_a, ends_b = [*accumulate(map(self.lengths_a.__getitem__, ids_a))], [*accumulate(map(self.lengths_b.__getitem__, ids_b))]
-            raw = (" " + segment).encode("utf-8", "surrogatepass")
-            same = b"".join(map(self.a.bytes.__getitem__, ids_a)) == raw and b"".join(map(self.b.bytes.__getitem__, ids_b)) == raw
-            groups = align(ids_a, ids_b, ends_a, ends_b) if same else []
-            before = len(self.links)
-            for g in groups:
-                self.links.extend([ids_a[i] * size_b + ids_b[j] for i, j in expand(ends_a, ends_b, g)])
-            self.groups.append(";".join(f"{','.join(map(str, ids_a[i:i1]))}|{','.join(map(str, ids_b[j:j1]))}" for i, i1, j, j1 in groups))
-            self.counts.extend((len(ids_a), len(ids_b), len(groups), len(self.links) - before, same))
-            self.rows[segment] = len(self.rows)
-        return np.fromiter(map(self.rows.__getitem__, segments), np.int64, len(segments))
+        if len(self.rows) + len(fresh) > self.limit:
+            self._forget()
+            fresh = [s for s in segments if s not in self.rows]
+        for start in range(0, len(fresh), AT_ONCE):
+            self._add(fresh[start : start + AT_ONCE])
+        rows = np.fromiter(map(self.rows.__getitem__, segments), np.int64, len(segments))
+        self.met = np.r_[self.met, np.zeros(len(self.rows) - len(self.met), np.int32)]
+        self.met[rows] += 1
+        return rows
+
+    def _forget(self) -> None:
+        """Keep the segments met in more than one batch, unless they are half of what may be kept."""
+        kept, rows, named, met = np.flatnonzero(self.met > 1), [*self.rows], self.groups, self.met
+        counts, links = self._arrays()
+        self._clear()
+        if len(kept) > self.limit // 2:
+            return
+        self.rows = {rows[r]: k for k, r in enumerate(kept.tolist())}
+        self.groups, self.met = [named[r] for r in kept.tolist()], met[kept]
+        first = np.cumsum(counts[:, 3]) - counts[:, 3]
+        self.counts.frombytes(counts[kept].tobytes())
+        self.links.frombytes(links[spans_of(first[kept], counts[kept, 3])].tobytes())
+
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counts, a row per segment, and the links of all segments."""
+        return np.frombuffer(self.counts.tobytes(), np.int64).reshape(-1, 5), np.frombuffer(self.links.tobytes(), np.int64)
+
+    def _add(self, fresh: list[str]) -> None:
+        """Align new segments, their bytes laid one after the other."""
+        raw = [(" " + s).encode("utf-8", "surrogatepass") for s in fresh]
+        sizes, text = np.fromiter(map(len, raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), np.uint8)
+        ids_a, n_a = self._encode_a(fresh, sizes)
+        ids_b, n_b = flat(self.b.encode(fresh))
+        same = self.spell_a.equals(ids_a, n_a, text, sizes) & self.spell_b.equals(ids_b, n_b, text, sizes)
+        ids_a, ids_b = ids_a[np.repeat(same, n_a)], ids_b[np.repeat(same, n_b)]
+        ends_a, ends_b = np.cumsum(self.spell_a.lengths[ids_a]), np.cumsum(self.spell_b.lengths[ids_b])
+        segment_ends = offsets(np.where(same, sizes, 0))
+        i1, j1 = align(ends_a, ends_b)
+        i, j, ends = expand(ends_a, ends_b)
+        links = np.searchsorted(ends, segment_ends, "right")
+        groups = np.searchsorted(ends_a[i1 - 1], segment_ends, "right")
+        # Tokens in the order of the digest: those of A of a group, then those of B.
+        numbers, marks = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+        i0, j0 = offsets(np.diff(i1, prepend=0))[:-1], offsets(np.diff(j1, prepend=0))[:-1]
+        numbers[np.arange(len(ids_a)) + np.repeat(j0, i1 - i0)] = ids_a
+        numbers[np.arange(len(ids_b)) + np.repeat(i1, j1 - j0)] = ids_b
+        marks[i1 + j0 - 1], marks[i1 + j1 - 1] = ord("|"), ord(";")
+        row, at = self.decimals.row(numbers, marks)
+        cuts = at[offsets(np.where(same, n_a + n_b, 0))].tolist()
+        self.groups.extend([row[s:e] for s, e in zip(cuts, cuts[1:])])
+        self.links.frombytes((ids_a[i] * self.b.size + ids_b[j]).tobytes())
+        self.counts.frombytes(np.stack([n_a, n_b, np.diff(groups), np.diff(links), same], axis=1).astype(np.int64).tobytes())
+        self.rows.update(zip(fresh, count(len(self.rows))))
+
+    def _encode_a(self, segments: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments in a row and their numbers. Where the tokenizers allow cuts, segments
+        that start and end with a character that is no white space are encoded joined by spaces."""
+        if not self.split:
+            return flat(self.a.encode(segments))
+        joins = np.fromiter((s != "" and s.strip() == s for s in segments), bool, len(segments))
+        if not joins.all():
+            counts, at = np.zeros(len(segments), np.int64), np.flatnonzero
+            parts = [self._encode_joined([segments[k] for k in at(joins)], sizes[joins]), flat(self.a.encode([segments[k] for k in at(~joins)]))]
+            counts[joins], counts[~joins] = parts[0][1], parts[1][1]
+            ids, of_joined = np.empty(int(counts.sum()), np.int64), np.repeat(joins, counts)
+            ids[of_joined], ids[~of_joined] = parts[0][0], parts[1][0]
+            return ids, counts
+        return self._encode_joined(segments, sizes)
+
+    def _encode_joined(self, segments: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = flat(self.a.encode([" ".join(segments[k : k + JOINED]) for k in range(0, len(segments), JOINED)]))
+        ends, bounds = np.cumsum(self.spell_a.lengths[ids]), np.cumsum(sizes)
+        last = np.searchsorted(ends, bounds)
+        if len(ids) and (ends[-1] != bounds[-1] or (ends[last] != bounds).any()):
+            return flat(self.a.encode(segments))
+        return ids, np.diff(np.r_[0, last + 1])
 
     def texts(self, texts: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """Counts, digest and distinct links (``keys`` a * size of B + b, ``times``) per text."""
         order, starts, parts = self.segments(texts)
         coded = parts.dictionary_encode()
         rows = self.rows_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        counts = np.frombuffer(self.counts.tobytes(), np.int64).reshape(-1, 5)
-        links = np.frombuffer(self.links.tobytes(), np.int64)
+        counts, links = self._arrays()
         first = np.cumsum(counts[:, 3]) - counts[:, 3]
         # Segments whose bytes agree make a text whose bytes agree. One that differs makes a text
         # that differs: no tokenizer here moves bytes from one segment into another.
@@ -194,7 +302,7 @@ class Aligner:
         sums = {c: np.where(bad, 0, per_text(counts[rows, k], starts)) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
         named = self.groups
         index = rows.tolist()
-        digests = ["" if b else hashlib.sha256(";".join([named[r] for r in index[s:e]]).encode()).hexdigest() for b, s, e in zip(bad.tolist(), starts[:-1].tolist(), starts[1:].tolist())]
+        digests = ["" if b else hashlib.sha256(b"".join([named[r] for r in index[s:e]])[:-1]).hexdigest() for b, s, e in zip(bad.tolist(), starts[:-1].tolist(), starts[1:].tolist())]
         text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
         live = ~bad[text_of]
         rows, text_of = rows[live], text_of[live]
