@@ -88,6 +88,31 @@ def q_ingested_files(spark, sf_dir):
     return tsv.ingest_files(spark, [(s, paths[s]) for s in SHARDS])
 
 
+@query("rebuilt_files", """
+SELECT o_orderpriority AS booru, o_orderkey AS fid,
+       CASE WHEN o_orderkey % 10 < 5 THEN '2021' ELSE '2022' END AS shard,
+       CAST(o_orderkey AS VARCHAR) || '.png' AS file_name,
+       CAST(floor(o_totalprice) AS BIGINT) AS file_size,
+       CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE o_custkey % 2048 END AS INTEGER) AS img_width_torr
+FROM orders WHERE o_orderkey % 10 < 5 OR o_orderkey % 13 <> 0
+""")
+def q_rebuilt_files(spark, sf_dir):
+    """The files table built from both shards, then the second shard built again without
+    the files whose size is not known: it replaces itself, the first stays as it was (S19)."""
+    raw = raw_shards(spark, sf_dir)["files"]
+
+    def build(base, _files):
+        path = f"{base}/files"
+        tsv.write_table(tsv.ingest_files(spark, [(s, raw[s]) for s in SHARDS]), path, ["shard"], ["booru", "fid"])
+        again = tsv.ingest_files(spark, [(SHARDS[1], raw[SHARDS[1]])]).where("fid % 13 <> 0")
+        tsv.write_table(again, path, ["shard"], ["booru", "fid"], keep_others=True)
+        return path
+
+    path = RESULTS.get(spark, "rebuilt", table_paths(sf_dir, "orders"), build)
+    return (spark.read.schema(tsv.FILES_SCHEMA).parquet(path)
+            .select("booru", "fid", "shard", "file_name", "file_size", "img_width_torr"))
+
+
 @query("ingested_tags", with_corpus(body="""
 SELECT booru, fid, tag, CAST(NULL AS BIGINT) AS tag_id, tag_cat, '' AS danb_fr FROM tags
 """))

@@ -130,11 +130,15 @@ def ingest_tags(spark: SparkSession, paths: Iterable[str], dedup: bool = True) -
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None) -> None:
-    """Overwrite a Parquet table (the build starts from scratch, S19)."""
+                sort_by: list[str] | None = None, keep_others: bool = False) -> None:
+    """Overwrite a Parquet table (the build starts from scratch, S19); with ``keep_others``
+    only the values of ``partition_by`` that ``df`` holds, so that a shard that is built
+    again replaces itself alone. No rows then replace nothing."""
+    if keep_others and not partition_by:
+        raise ValueError("keep_others needs partition_by")
     if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
-    writer = df.write.mode("overwrite")
+        df = df.sortWithinPartitions(*partition_by or [], *sort_by)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_others else "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

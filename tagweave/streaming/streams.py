@@ -6,7 +6,9 @@
 * :func:`caption_example_stream` -- caption records (one row per file with
   its tag array) arrive; every micro-batch is turned into examples by the
   batch functions (``foreachBatch``). A micro-batch holds whole captions, so
-  no cross-batch state or watermark is needed.
+  no cross-batch state is needed, unless records can arrive twice: with
+  ``repeats_within`` they carry a time, and the key of a record is kept in the
+  state store until the watermark has passed its time by that delay.
 
 Both read a file source. The caller names the stream's checkpoint (by default
 beside the output), so a query that is started again goes on where it stopped,
@@ -42,6 +44,7 @@ CAPTION_RECORD_SCHEMA = T.StructType([
     ]))),
 ])
 
+TIMED_RECORD_SCHEMA = T.StructType([*CAPTION_RECORD_SCHEMA.fields, T.StructField("arrived", T.TimestampType())])
 
 #: Bytes of input files in a micro-batch, about.
 BYTES_PER_TRIGGER = 8 << 30
@@ -110,11 +113,24 @@ def examples_of_records(records: DataFrame, vocab: Vocabulary,
     return cp.examples(cp.suitable_captions(labelled, vocab, cfg), cfg)
 
 
+def first_arrivals(records: DataFrame, delay: str) -> DataFrame:
+    """Timed records (``arrived``), each ``key`` once: a record whose key came before within
+    ``delay`` of its time is dropped, and so is one that arrives later than that behind the
+    newest time. The watermark starts at 1970, so that earlier times are late. Which of
+    several records of one key and micro-batch stays is open; they are copies."""
+    return (records.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["key"])
+            .drop("arrived"))
+
+
 def caption_example_stream(spark: SparkSession, source_dir: str, out_dir: str, vocab: Vocabulary,
                            cfg: CaptionConfig = CaptionConfig(), files_per_trigger: int | None = None,
-                           checkpoint: str | None = None):
-    """Start the caption-record -> example query: ``out_dir/micro_batch=<id>`` per batch."""
-    records = _source(spark, CAPTION_RECORD_SCHEMA, source_dir, files_per_trigger)
+                           checkpoint: str | None = None, repeats_within: str | None = None):
+    """Start the caption-record -> example query: ``out_dir/micro_batch=<id>`` per batch. With
+    ``repeats_within`` the records are timed, and one that arrives again makes no example."""
+    schema = CAPTION_RECORD_SCHEMA if repeats_within is None else TIMED_RECORD_SCHEMA
+    records = _source(spark, schema, source_dir, files_per_trigger)
+    if repeats_within is not None:
+        records = first_arrivals(records, repeats_within)
 
     def convert(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # labels, totals and candidates each read it
