@@ -2,7 +2,9 @@
 
 * :func:`prevalence_stream` -- label prevalence that grows as tag files arrive
   (A14 / A15 on a stream): a streaming ``groupBy(label).count()`` in
-  ``complete`` mode; the state is one row per label in the state store.
+  ``update`` mode; the state is one row per label in the state store, and a
+  trigger writes the labels whose count changed as a version of a
+  :class:`~tagweave.streaming.versions.VersionedTable`.
 * :func:`caption_example_stream` -- caption records (one row per file with
   its tag array) arrive; every micro-batch is turned into examples by the
   batch functions (``foreachBatch``). A micro-batch holds whole captions, so
@@ -11,9 +13,9 @@
   state store until the watermark has passed its time by that delay.
 
 Both read a file source. The caller names the stream's checkpoint (by default
-beside the output), so a query that is started again goes on where it stopped,
-and every micro-batch writes a folder of its own number with overwrite, so a
-batch that runs twice after a failure leaves its rows once.
+beside the output), so a query that is started again goes on where it stopped.
+A micro-batch publishes the version, or writes the folder with overwrite, of its
+own number, so a batch that runs twice after a failure leaves its rows once.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from ..config import CaptionConfig
 from ..functions.text import ascii_lower
 from ..operators import captions as cp
 from ..operators.tokenize import Vocabulary
+from .versions import VersionedTable
 
 TAG_EVENT_SCHEMA = T.StructType([
     T.StructField("booru", T.StringType()),
@@ -58,12 +61,19 @@ def _source(spark: SparkSession, schema: T.StructType, source_dir: str, files_pe
     return reader.parquet(source_dir)
 
 
+PREVALENCE_SCHEMA = T.StructType([
+    T.StructField("label", T.StringType()),
+    T.StructField("prevalence", T.LongType()),
+])
+
+
+def prevalence_table(spark: SparkSession, out_dir: str) -> VersionedTable:
+    return VersionedTable(spark, out_dir, PREVALENCE_SCHEMA, ["label"])
+
+
 def latest_result(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest complete result under ``out_dir``. A batch's folder appears with
-    Spark's commit, so a reader sees the last whole result at any time."""
-    results = spark.read.parquet(out_dir)
-    newest = results.agg(F.max("micro_batch")).first()[0]
-    return results.where(F.col("micro_batch") == newest).drop("micro_batch")
+    """``label, prevalence`` of the newest published version under ``out_dir``, whole at any time."""
+    return prevalence_table(spark, out_dir).read()
 
 
 def prevalence_stream(spark: SparkSession, source_dir: str, out_dir: str, general: bool | None,
@@ -71,8 +81,8 @@ def prevalence_stream(spark: SparkSession, source_dir: str, out_dir: str, genera
     """Start the growing-prevalence query; returns the StreamingQuery.
 
     ``general`` True / False selects the category side (None: all rows). Each
-    trigger writes the complete result to ``out_dir/micro_batch=<id>``; read the
-    newest with :func:`latest_result`.
+    trigger publishes the counts that it changed as a version of the table at
+    ``out_dir``; read the newest with :func:`latest_result`.
     """
     rows = _source(spark, TAG_EVENT_SCHEMA, source_dir, files_per_trigger)
     if general is True:
@@ -82,10 +92,8 @@ def prevalence_stream(spark: SparkSession, source_dir: str, out_dir: str, genera
     counts = (rows.groupBy(ascii_lower("tag").alias("label"))
               .agg(F.count(F.lit(1)).alias("prevalence")))
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/micro_batch={batch_id}")
-
-    return (counts.writeStream.outputMode("complete").foreachBatch(publish)
+    table = prevalence_table(spark, out_dir)
+    return (counts.writeStream.outputMode("update").foreachBatch(table.publish)
             .option("checkpointLocation", checkpoint or f"{out_dir}-checkpoint")
             .trigger(availableNow=True).start())
 
