@@ -1,5 +1,5 @@
-"""User-callable surface (2.15): user tokenisers as Arrow UDFs, batched maps,
-and a SQL-callable rule-A tokeniser for ad-hoc queries.
+"""User-callable surface (2.15): user tokenisers as Arrow UDFs, batched maps, and rule A
+for SQL users as a function of a value and as a table function for LATERAL joins.
 
 The library's own tokenisation is the join plan of
 :mod:`tagweave.operators.tokenize`; these helpers exist so a user can plug in
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import COSPLAY, DELIMITER_PATTERN, QUALIFIER_PATTERN, SHORT_LABEL_MAX, UNK_TOKEN
+from ..operators.tokenize import HELD_BYTES
+from ..operators.vocab import Vocabulary
 
 
 def label_tokenizer_udf(fn: Callable[[str], Iterable[str]]):
@@ -74,3 +76,29 @@ def register_tokenize_label(spark: SparkSession, tokens: list[str],
     """Register rule A as a SQL function over a given token list (small lists
     only: the list travels with the function)."""
     spark.udf.register(name, label_tokenizer_udf(rule_a(set(tokens))))
+
+
+def register_label_tokens(spark: SparkSession, vocab: Vocabulary, name: str = "label_tokens",
+                          held_bytes: int = HELD_BYTES) -> None:
+    """Register rule A as a table function: ``LATERAL label_tokens(label)`` gives a row
+    ``pos, token, id`` per token of a (lower-cased) label, and no row for null.
+
+    The vocabulary is broadcast, and so must be known to have at most ``held_bytes`` of
+    tokens; with a larger one labels are tokenised by ``operators.tokenize.tokenize_labels``.
+    """
+    if vocab.size is None or vocab.size > held_bytes:
+        raise ValueError(f"vocabulary of {vocab.size} bytes, more than {held_bytes}: use tokenize_labels")
+    table, unk_id = vocab.table.select("token", "id").toArrow(), vocab.unk_id
+    held = spark.sparkContext.broadcast((table["token"].to_pylist(), table["id"].to_pylist()))
+
+    class LabelTokens:
+        def __init__(self):
+            self.ids = dict(zip(*held.value))
+            self.rule = rule_a(self.ids.keys())
+
+        def eval(self, label: str):
+            if label is not None:
+                for pos, token in enumerate(self.rule(label)):
+                    yield pos, token, self.ids.get(token, unk_id)
+
+    spark.udtf.register(name, F.udtf(LabelTokens, returnType="pos int, token string, id int"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..config import (CAT_GENERAL, FRANCHISES, POPULAR_COUNT_MIN,
                       POPULAR_LIST_MIN)
 from ..functions.text import ascii_lower
+from ..sources.store import insert_into
 
 KEY = ["booru", "fid"]
 
@@ -136,6 +137,12 @@ def frames(frame_counts: DataFrame) -> DataFrame:
             .select(*KEY, F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("frame")))
 
 
+def insert_frames(frame_counts: DataFrame, table: str, overwrite: bool = False) -> None:
+    """Insert the frames of ``frame_counts`` into the stored ``table`` (S5); with
+    ``overwrite`` the boorus among them replace themselves and the others stay."""
+    insert_into(frames(frame_counts), table, overwrite)
+
+
 def franchise_files(files: DataFrame, tags: DataFrame, franchises) -> DataFrame:
     """Files with any tag in ``franchises`` (EXISTS of the split queries)."""
     hits = tags.where(tags.tag.isin(sorted(set(franchises)))).select(*KEY).distinct()

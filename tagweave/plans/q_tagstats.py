@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators import quality, tagstats as ts
-from ..sources.tables import tag_corpus
+from ..sources.store import RESULTS, create_table
+from ..sources.tables import SOURCES, table_paths, tag_corpus
 from .catalog import query
 from .oracle_sql import ascii_lower_sql, sql_list, with_corpus
 
@@ -133,6 +134,25 @@ def q_frames(spark, sf_dir):
     return ts.frames(_corpus(spark, sf_dir).frame_counts)
 
 
+@query("stored_frames", with_corpus(body="""
+SELECT booru, fid, CAST(unnest(range(CASE WHEN booru = '2-HIGH' THEN frames // 2 ELSE frames END)) AS INTEGER) AS frame
+FROM frame_counts
+"""))
+def q_stored_frames(spark, sf_dir):
+    """A stored frames table filled by insert-select; then one booru is inserted again with
+    half of its frame counts and replaces itself alone (S5)."""
+    counts = _corpus(spark, sf_dir).frame_counts
+
+    def build(base, _files):
+        table = create_table(spark, f"{base}/frames", "fid BIGINT, frame INT, booru STRING", "booru")
+        ts.insert_frames(counts, table)
+        again = counts.where("booru = '2-HIGH'").selectExpr("booru", "fid", "frames div 2 AS frames")
+        ts.insert_frames(again, table, overwrite=True)
+        return table
+
+    return spark.table(RESULTS.get(spark, "frames", table_paths(sf_dir, *SOURCES), build)).select("booru", "fid", "frame")
+
+
 _SPLIT_FILES_CTE = f"""
 franchise_files AS (
   SELECT f.booru, f.fid FROM files f

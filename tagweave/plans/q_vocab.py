@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import EOS_TOKEN, PAD_TOKEN, UNK_TOKEN
+from ..functions.udfs import register_label_tokens
 from ..operators import tagstats as ts
 from ..operators import tokenize as tk
 from ..operators import vocab as vb
+from ..sources.datasets import load_named
+from ..sources.sinks import write_token_list
 from ..sources.store import RESULTS
 from ..sources.tables import SOURCES, documents, table_paths, tag_corpus
 from .catalog import query
@@ -171,14 +174,17 @@ def q_registry_a(spark, sf_dir):
     return tag_registry_a(spark, sf_dir).select("id", "token")
 
 
-@query("label_tokenization", _vocab_sql("""
+_LABEL_TOKENIZATION_SQL = _vocab_sql("""
 SELECT label,
        array_to_string(list(CAST(id AS VARCHAR) ORDER BY pos), ' ') AS ids,
        array_to_string(list(tok ORDER BY pos), ' ') AS tokens,
        CAST(count(*) AS INTEGER) AS n_tokens,
        CAST(count(*) FILTER (WHERE id = 1) AS INTEGER) AS n_unknown
 FROM llook GROUP BY label
-""", LABEL_TOKENS_CTES))
+""", LABEL_TOKENS_CTES)
+
+
+@query("label_tokenization", _LABEL_TOKENIZATION_SQL)
 def q_label_tokenization(spark, sf_dir):
     """Rule-A tokens of every distinct (lower-cased) tag label, with the ids
     decoded back to tokens through the vocabulary (J7)."""
@@ -194,6 +200,36 @@ def q_label_tokenization(spark, sf_dir):
                     F.size(F.filter("ids", lambda x: x == vocab.unk_id)).alias("n_unknown")))
 
 
+@query("lateral_label_tokens", _LABEL_TOKENIZATION_SQL)
+def q_lateral_label_tokens(spark, sf_dir):
+    """The same in SQL by a LATERAL join with the table function ``label_tokens``."""
+    register_label_tokens(spark, tag_vocabulary(spark, sf_dir))
+    return spark.sql("""
+        WITH labels AS (SELECT DISTINCT lower(tag) AS label FROM {tags} WHERE tag IS NOT NULL),
+        found AS (SELECT label, array_sort(collect_list(struct(t.pos, t.id, t.token))) AS found
+                  FROM labels, LATERAL label_tokens(label) t GROUP BY label)
+        SELECT label, array_join(transform(found.id, i -> CAST(i AS STRING)), ' ') AS ids, array_join(found.token, ' ') AS tokens,
+               size(found) AS n_tokens, size(filter(found, x -> x.id = {unknown})) AS n_unknown
+        FROM found""", tags=tag_corpus(spark, sf_dir).tags, unknown=tag_vocabulary(spark, sf_dir).unk_id)
+
+
+@query("loaded_token_list", _vocab_sql("""
+SELECT row_number() OVER (ORDER BY rank) - 1 AS rank, token FROM gen_toks WHERE token <> ''
+"""))
+def q_loaded_token_list(spark, sf_dir):
+    """The general tokens written as files of one token per line, the later half gzip, and
+    loaded by name with their ranks (S8, S10, S12)."""
+    def build(base, _files):
+        tokens = tag_vocab_lists(spark, sf_dir)[1]
+        half = F.lit(tokens.count() // 2)
+        write_token_list(tokens.where(F.col("rank") < half), f"{base}/list/a")
+        write_token_list(tokens.where(F.col("rank") >= half), f"{base}/list/b", compression="gzip")
+        return f"{base}/list"
+
+    path = RESULTS.get(spark, "token-list", table_paths(sf_dir, *SOURCES), build)
+    return load_named("token_list", spark, path)
+
+
 TEXT_CTES = """
 words AS (
   SELECT lower(w) AS token FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) s

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import range_index
+from . import named
 
 EXTENSIONS = ("csv", "json", "txt")
 
@@ -59,24 +60,38 @@ def text_column(df: DataFrame) -> str:
     return "text" if "text" in df.columns else df.columns[0]
 
 
-_LOADERS: dict[str, Callable[..., DataFrame]] = {}
+def read_token_list(spark: SparkSession, path: str) -> DataFrame:
+    """One token per line -> ``(rank, token)`` in line order, blank lines dropped
+    (S10). Compressed files (``.gz``) are read natively.
+
+    Several files follow one another by name; lists we write ourselves carry ``rank``.
+    """
+    return in_file_order(spark.read.text(path).where(F.col("value") != ""), "rank").select("rank", F.col("value").alias("token"))
+
+
+def load_token_list(spark: SparkSession, path: str) -> DataFrame:
+    """``(rank, token)`` of a folder of plain or gzip token lists through the ``token_list``
+    source: files by name, then lines."""
+    named.register(spark)
+    lines = spark.read.format("token_list").load(path)
+    return range_index(lines, [F.col("file"), F.col("line")], "rank").select("rank", "token")
+
+
+def load_caption_records(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Caption records of plain or gzip JSON lines through the ``caption_json`` source."""
+    named.register(spark)
+    return spark.read.format("caption_json").options(**options).load(path)
+
+
+_LOADERS: dict[str, Callable[..., DataFrame]] = {"token_list": load_token_list, "caption_records": load_caption_records}
 
 
 def register_loader(name: str, fn: Callable[..., DataFrame]) -> None:
-    """Named dataset builders (S8): ``load_named(name, ...)`` dispatches here."""
+    """A named dataset builder of the user's own beside ours (S8); :func:`load_named` calls it."""
     _LOADERS[name] = fn
 
 
 def load_named(name: str, *args, **kwargs) -> DataFrame:
     if name not in _LOADERS:
-        raise KeyError(f"no loader registered under {name!r}")
+        raise KeyError(f"no loader registered under {name!r}; there are {', '.join(sorted(_LOADERS))}")
     return _LOADERS[name](*args, **kwargs)
-
-
-def read_token_list(spark: SparkSession, path: str) -> DataFrame:
-    """One token per line -> ``(rank, token)`` in line order, blank lines dropped
-    (S10). Compressed files (``.gz``) are read natively.
-
-    Several files follow one another by name; lists we write ourselves carry ``rank``.
-    """
-    return in_file_order(spark.read.text(path).where(F.col("value") != ""), "rank").select("rank", F.col("value").alias("token"))

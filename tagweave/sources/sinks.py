@@ -18,10 +18,10 @@ def write_prevalence_tsv(prevalence: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
-def write_token_list(tokens: DataFrame, path: str) -> None:
+def write_token_list(tokens: DataFrame, path: str, compression: str = "none") -> None:
     """One token per line in rank order (S12); Parquet with ``rank`` is the
     order-safe alternative (:func:`write_ranked`)."""
-    tokens.orderBy("rank").select("token").write.mode("overwrite").text(path)
+    tokens.orderBy("rank").select("token").write.mode("overwrite").text(path, compression=compression)
 
 
 def write_ranked(tokens: DataFrame, path: str) -> None:

@@ -93,3 +93,24 @@ def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int,
     (df.repartition(buckets, *keys).write.format("parquet").option("path", path)
      .bucketBy(buckets, *keys).sortBy(*keys, *order).saveAsTable(name))
     return name
+
+
+def create_table(spark: SparkSession, path: str, columns: str, partition_by: str) -> str:
+    """An empty catalog table of ``columns`` (DDL) with its files at ``path``, partitioned by one
+    of them, which then comes last; rows are put in with ``insertInto``. Returns its name."""
+    name = f"stored_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({partition_by}) LOCATION '{path}'")
+    return name
+
+
+def insert_into(rows: DataFrame, table: str, overwrite: bool = False) -> None:
+    """Insert rows into a partitioned table, columns by name; with ``overwrite`` the partitions
+    that get rows are replaced and the others stay."""
+    conf, mode = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    # The writer's option of this name does not reach insertInto.
+    conf.set(mode, "dynamic")
+    try:
+        rows.select(*rows.sparkSession.table(table).columns).write.insertInto(table, overwrite=overwrite)
+    finally:
+        conf.set(mode, before)
