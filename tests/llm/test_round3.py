@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -333,3 +334,21 @@ def test_collocation_sql_on_ties(spark, tmp_path):
     assert sorted(con.sql(queries.OP12_SQL).fetchall()) == brute_collocations(texts, 2000) == sorted(map(tuple, phrases.collocations(spark, rows).collect()))
 
 
+def test_every_training_window_is_learned_from(spark, monkeypatch):
+    """The trainers are given all windows of all training rows, and take as many steps as that needs."""
+    from tagweave.llm import attention
+
+    seen = []
+    real = lm.Stages.write
+    monkeypatch.setattr(lm.Stages, "write", lambda self, df, name, *a, **k: seen.append((name, got := real(self, df, name, *a, **k))) or got)
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40 + i, 300), None) for i in range(150)]
+    scored(spark, rows, trainer_ids=1 << 12)
+    stage = dict(seen)
+    lengths = [r.n for r in stage["encoded"].where("learn").selectExpr("length(ids) div 2 AS n").collect()]
+    assert stage["windows"].count() == sum(-(-n // TINY.stride) for n in lengths)
+    steps = []
+    monkeypatch.setattr(attention, "train", lambda params, cuts, shape, n, *a: steps.append((len(cuts), n)) or params)
+    weights = type("Held", (), {"value": attention.flatten(attention.init_params(np.full(TINY.ids, 1 / TINY.ids), TINY))})
+    lm._trainer(weights, TINY, 2, 0.01)(pd.DataFrame({"place": range(2000), "cut": [b"\0" * 2 * (TINY.context + 1)] * 2000}))
+    assert steps[0][1] * lm.STEP_WINDOWS >= steps[0][0]
