@@ -180,3 +180,49 @@ def test_stored_results_follow_their_inputs(spark, tmp_path):
     assert get() == [0, 1, 2, 3, 4] and len(built) == 4
     cache.clear(spark)
     assert not any(map(there, built)) and listing(spark, f"{tmp_path}/nothing") == [(f"{tmp_path}/nothing", -1, 0)]
+
+
+def test_tags_are_made_unique_where_line_items_were_dealt_out(spark):
+    """One exchange by file, before a line item becomes tags, and none of the tags."""
+    from tagweave.sources.tables import tags_from_lineitems
+
+    lines = spark.range(40).selectExpr("id % 9 AS l_orderkey", "id % 7 AS l_partkey", "id % 3 AS l_suppkey")
+    orders = spark.range(9).selectExpr("id AS o_orderkey", "concat('b', id % 2) AS o_orderpriority")
+    part = spark.range(7).selectExpr("id AS p_partkey", "concat('p ', id) AS p_name", "'T X' AS p_type", "'B' AS p_brand", "CAST(id AS INT) AS p_size")
+    supplier = spark.range(3).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "0L AS s_nationkey")
+    nation = spark.range(1).selectExpr("id AS n_nationkey", "'N' AS n_name")
+    plain = tags_from_lineitems(lines, orders, part, supplier, nation)
+    dealt = tags_from_lineitems(lines, orders, part, supplier, nation, buckets=5)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    steps = dealt._jdf.queryExecution().executedPlan().toString()
+    assert steps.index("Generate") < steps.index("REPARTITION_BY_NUM")  # printed from the last step on
+    assert "Exchange" not in steps[:steps.index("Generate")]
+
+
+def test_insert_keeps_files_open_in_place_of_a_sort(spark, tmp_dir, monkeypatch):
+    """Rows of a partitioned insert are not sorted by partition, also with more partitions
+    than a task keeps open; the session's setting stays as it was."""
+    from pyspark.sql import DataFrameWriter
+
+    from tagweave.sources import store
+
+    name, seen, real = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.insertInto
+    monkeypatch.setattr(DataFrameWriter, "insertInto", lambda self, *a, **k: seen.append(spark.conf.get(name)) or real(self, *a, **k))
+    before = spark.conf.get(name, None)
+    table = store.create_table(spark, f"{tmp_dir}/t", "fid BIGINT, booru STRING", "booru")
+    rows = spark.range(300).selectExpr("id AS fid", "concat('b', id % 20) AS booru")
+    store.insert_into(rows, table)
+    assert spark.table(table).count() == 300
+    store.insert_into(rows.where("fid = 3"), table, overwrite=True)
+    assert spark.table(table).where("booru = 'b3'").count() == 1 and spark.table(table).count() == 286
+    assert [int(v) > 0 for v in seen] == [True, True] and spark.conf.get(name, None) == before
+
+
+def test_raw_tag_shards_are_packed(spark):
+    """The written shards take a fraction of their lines' bytes, and are read back whole."""
+    from tagweave.plans import q_ingest
+    from tagweave.sources.store import listing
+
+    paths = q_ingest.raw_shards(spark, "/root/testdata/sf0.001")["tags"]
+    parts = [p for path in paths.values() for p, _, _ in listing(spark, path) if "part-" in p and not p.endswith(".crc")]
+    assert parts and all(p.endswith(".gz") for p in parts)
