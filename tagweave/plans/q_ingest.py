@@ -22,7 +22,7 @@ SHARDS = ("2021", "2022")
 def _write_tsv(df, path):
     line = F.concat_ws("\t", *df.columns).alias("\t".join(df.columns))
     (df.select(line).write.mode("overwrite").option("sep", "\u0001").option("header", "true")
-     .option("quote", "\u0000").option("escapeQuotes", "false").csv(path))
+     .option("quote", "\u0000").option("escapeQuotes", "false").option("compression", "gzip").csv(path))
 
 
 def raw_shards(spark, sf_dir) -> dict:
@@ -50,16 +50,19 @@ def _write_shards(spark, sf_dir, base: str) -> dict:
         "booru", F.col("fid").cast("string").alias("fid"), "tag", F.lit("").alias("tag_id"),
         F.col("tag_cat").cast("string").alias("tag_cat"), F.lit("").alias("danb_fr"),
         F.when(F.col("fid") % 10 < 5, F.lit(SHARDS[0])).otherwise(F.lit(SHARDS[1])).alias("_shard"))
-    # One shard of the dumps repeats rows; its character rows appear twice here.
-    repeated = tag_rows.where((F.col("_shard") == SHARDS[1]) & (F.col("tag_cat") == "4"))
-    # Lines that the quote rule drops, one with the quote beyond the columns, and lines that
-    # repeat a key with a larger category, which lose against the first.
-    artists = tag_rows.where("tag_cat = '1'")
-    quoted = artists.withColumn("tag", F.concat(F.lit('"'), "tag"))
-    beyond = artists.withColumn("tag", F.concat("tag", F.lit("_seven"))).withColumn("danb_fr", F.lit('\tx"y'))
-    conflicting = tag_rows.where("tag_cat = '3'").withColumn("tag_cat", F.lit("9")).withColumn("danb_fr", F.lit("\tbeyond"))
-    for more in (repeated, quoted, beyond, conflicting):
-        tag_rows = tag_rows.unionByName(more)
+    # One shard of the dumps repeats rows; its character rows appear twice here. Artists have
+    # lines that the quote rule drops, one with the quote beyond the columns; franchises have
+    # lines that repeat a key with a larger category, which lose against the first.
+    line = lambda tag="tag", cat="tag_cat", danb=F.lit(""): F.struct(
+        F.col(tag).alias("tag") if isinstance(tag, str) else tag.alias("tag"),
+        (F.col(cat) if isinstance(cat, str) else cat).alias("tag_cat"), danb.alias("danb_fr"))
+    lines = F.when((F.col("_shard") == SHARDS[1]) & (F.col("tag_cat") == "4"), F.array(line(), line())) \
+        .when(F.col("tag_cat") == "1", F.array(line(), line(F.concat(F.lit('"'), "tag")), line(F.concat("tag", F.lit("_seven")), danb=F.lit('\tx"y')))) \
+        .when(F.col("tag_cat") == "3", F.array(line(), line(cat=F.lit("9"), danb=F.lit("\tbeyond")))) \
+        .otherwise(F.array(line()))
+    columns = [c for c in tag_rows.columns if c != "_shard"]
+    tag_rows = tag_rows.select("booru", "fid", "tag_id", "_shard", F.explode(lines).alias("_l")).select(
+        "booru", "fid", "_l.tag", "tag_id", "_l.tag_cat", "_l.danb_fr", "_shard").select(*columns, "_shard")
     paths = {"files": {}, "tags": {}}
     for shard in SHARDS:
         fp, tp = f"{base}/{shard}_files.tsv", f"{base}/{shard}_tags.tsv"
