@@ -1,0 +1,36 @@
+"""Training windows of op13: cut for their round, every one in one round, none stored."""
+
+import numpy as np
+import pyarrow as pa
+
+from tagweave.llm import attention, lm
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_rounds_share_all_windows():
+    shape, size, rounds = attention.Shape(), 300, 4
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, size, n).astype("<u2").tobytes() for n in rng.integers(1, 400, 60)]
+    batch = pa.RecordBatch.from_pydict({"uid": pa.array(np.arange(60)), "ids": pa.array(texts, pa.binary())})
+    vocabulary = _Held(attention.Vocabulary(np.ones(size, np.int64), shape))
+    parts = [list(lm._cut_windows([batch], np.dtype("<u2"), vocabulary, shape, 1.0, 3, rounds, r)) for r in range(rounds)]
+    counts = [sum(len(b) for b in p) for p in parts]
+    lengths = np.array([len(t) // 2 for t in texts])
+    assert sum(counts) == int((-(-lengths // shape.stride)).sum()) and min(counts) > 0
+    places = [x for p in parts for b in p for x in b["place"].to_pylist()]
+    assert len(set(places)) == len(places)
+
+
+def test_windows_are_not_stored(spark, monkeypatch):
+    names = []
+    real = lm.Stages.write
+    monkeypatch.setattr(lm.Stages, "write", lambda self, df, name, *a, **k: names.append(name) or real(self, df, name, *a, **k))
+    from tagweave.llm import queries
+
+    out = queries.QUERIES["op13_lm_scores"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    assert "encoded" in names and "windows" not in names
