@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stages, byte_pieces, byte_table, held, per_text, ship_file, shipped, space_parts, spans_of, text_key, translated
+from .common import Stages, byte_pieces, byte_table, held, ship_file, shipped, space_parts, text_key, translated
 
 BLOCK, MAGIC = 1 << 14, b"TOKFWB01"
 #: Bytes of text that a task encodes at a time.
@@ -175,12 +176,41 @@ def drops_white_space(tokenizer) -> bool:
                for x in signs for y in ("a", "'", "s", "7", "-", "\u0301", "日") for gap in (" ", "\n"))
 
 
+#: Letters, then ASCII signs without an apostrophe: under :func:`end_marks` one piece each.
+_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\\[-`{-~]*)")
+#: Words of one call of the tokenizer.
+RUN_WORDS = 256
+
+
+def end_marks(tokenizer) -> np.ndarray | None:
+    """Per id whether it ends a piece of the pre-tokenizer, where the tokenizer's definition
+    shows that a word of :data:`_SIMPLE` is cut in just its letters and its signs and that
+    the last id of each piece is marked by the vocabulary; otherwise None."""
+    made = json.loads(tokenizer.to_str())
+    normaliser, pre, model = made["normalizer"] or {"type": "Sequence", "normalizers": []}, made["pre_tokenizer"] or {}, made["model"]
+    steps = normaliser["normalizers"] if normaliser["type"] == "Sequence" else [normaliser]
+    cuts = pre.get("pretokenizers", [pre]) if drops_white_space(tokenizer) else []
+    if not cuts or any(step["type"] == "NFD" for step in steps) or [c["type"] for c in cuts[1:]] != ["ByteLevel"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
+        return None
+    kinds = set(cuts[0]["pattern"].get("Regex", "").split("|"))
+    whole = {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"}
+    if not whole <= kinds or any(not re.fullmatch("'[a-z]+", k) and k != r"[\p{N}]" for k in kinds - whole):
+        return None
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return None
+    marks = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    marks[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+    return marks
+
+
 class WordEncoder:
     """Encodes whole texts; where the tokenizer's definition shows that it never joins
     anything across a space or line feed (:func:`drops_white_space`), each distinct word of
     a batch once, remembering up to two generations of ``limit`` words, of which the
-    older goes when the newer is full. Otherwise, or with ``by_word=False``, the tokenizer
-    gets the texts as they are."""
+    older goes when the newer is full. Words new to it go to the tokenizer many in a call and
+    are told apart by the ids that end a piece, where :func:`end_marks` has them. Otherwise, or
+    with ``by_word=False``, the tokenizer gets the texts as they are."""
 
     def __init__(self, path: str, end_id: int, by_word: bool = True, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,16 +219,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.end_id, self.by_word = end_id, by_word and drops_white_space(self.tokenizer)
+        self.marks = end_marks(self.tokenizer) if self.by_word else None
         self.limit, self.known, self.older = limit, {}, {}
 
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of words, as if each were encoded alone."""
+        fits = [_SIMPLE.fullmatch(w) for w in words] if self.marks is not None else []
+        pieces = [1 + (m[1] != "") for m in fits if m]
+        if not pieces:
+            return self._alone(words)
+        plain = [w for w, m in zip(words, fits) if m] if len(pieces) < len(words) else words
+        runs = [" ".join(plain[i : i + RUN_WORDS]) for i in range(0, len(plain), RUN_WORDS)]
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
+        ends, last = np.flatnonzero(self.marks[flat]) + 1, np.cumsum(pieces)
+        if len(ends) != last[-1]:
+            return self._alone(words)
+        raw, at = flat.tobytes(), (ends[last - 1] * 4).tolist()
+        out = [raw[a:b] for a, b in zip([0, *at], at)]
+        if plain is words:
+            return out
+        out, rest = iter(out), iter(self._alone([w for w, m in zip(words, fits) if not m]))
+        return [next(out if m else rest) for m in fits]
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words as bytes."""
         if len(self.known) >= self.limit:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         fresh = [w for w in words if w not in known and (w not in older or known.setdefault(w, older[w]) is None)]
-        for word, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u4").tobytes()
+        known.update(zip(fresh, self._fresh(fresh)))
         return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -206,18 +258,16 @@ class WordEncoder:
         if self.by_word:
             starts, parts = space_parts(translated(texts, _LINES))
             coded = parts.dictionary_encode()
-            found, index = self._words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+            found, index = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
         else:
-            found, index, starts = [], np.arange(len(texts)), np.arange(len(texts) + 1)
-            for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
-                found.append(np.array(e.ids, "<u4").tobytes())
-        sizes, flat = np.array([len(f) for f in found], np.int64) // 4, np.frombuffer(b"".join(found), "<u4")
-        at, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
-        n = per_text(lengths, starts) + 1
-        ends = np.cumsum(n)
-        ids = np.full(ends[-1] if len(n) else 0, self.end_id, "<u4")
-        ids[spans_of(ends - n, n - 1)] = flat[spans_of(at, lengths)]
-        return np.r_[0, ends], ids
+            found, index, starts = self._alone(texts.to_pylist()), np.arange(len(texts)), np.arange(len(texts) + 1)
+        # The end id stands as one more word after the words of each text.
+        found.append(np.array([self.end_id], "<u4").tobytes())
+        order = np.insert(index.astype(np.int64), starts[1:], len(found) - 1)
+        taken = pa.array(found, pa.large_binary()).take(pa.array(order))
+        offsets = np.frombuffer(taken.buffers()[1], "<i8")[: len(order) + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        return offsets[starts + np.arange(len(starts))], ids
 
 
 def _write(batches, folder: str, tokenizer: str, end_id: int, by_word: bool):
