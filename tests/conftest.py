@@ -3,10 +3,16 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))  # test modules that import each other
+for folder in ("llm", "."):  # test modules that import each other
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), folder))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def pytest_configure(config):
+    """Files of one name in two folders are two modules, also where ``tests`` is no package."""
+    config.option.importmode = "importlib"
+
+
 @pytest.fixture(scope="session")
 def spark():
     from tagweave.session import get_session
