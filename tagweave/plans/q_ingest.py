@@ -145,6 +145,8 @@ SELECT booru, fid, tag, tag_cat FROM tags WHERE fid % 10 >= 5
 def q_raw_orphan_tags(spark, sf_dir):
     """Tags of both shards whose file the first files shard does not hold."""
     paths = raw_shards(spark, sf_dir)
-    tags = tsv.ingest_tags(spark, [paths["tags"][s] for s in SHARDS])
+    raw = tsv.ingest_tags(spark, [paths["tags"][s] for s in SHARDS], dedup=False)
     files = tsv.ingest_files(spark, [(SHARDS[0], paths["files"][SHARDS[0]])])
-    return quality.orphan_tags(tags, files).select("booru", "fid", "tag", "tag_cat")
+    # A key's rows are of one file: they are orphans all or none, and the rows that stay lie by
+    # file where their keys are made unique.
+    return tsv.unique_tags(quality.orphan_tags(raw, files)).select("booru", "fid", "tag", "tag_cat")

@@ -74,12 +74,13 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 def _int(c: str, kind: str = "long"):
     """Integer affinity: integer text becomes a number, anything else NULL.
 
-    The pattern guard keeps non-numbers (e.g. the many empty fields) away
-    from the cast, whose failure path is slow; ``try_cast`` still turns an
-    out-of-range number into NULL.
+    Text that a number is written as is that number; only other text is held against
+    the pattern, which costs more than the cast. Empty fields, which are many, are kept
+    away from both. ``try_cast`` turns an out-of-range number into NULL.
     """
     col = F.col(c)
-    return F.when(col.rlike(INTEGER_TEXT), col).try_cast(kind)
+    number = col.try_cast(kind)
+    return F.when(col == "", None).when(number.cast("string") == col, number).when(col.rlike(INTEGER_TEXT), number)
 
 
 def files_from_raw(raw: DataFrame, shard: str) -> DataFrame:
@@ -123,9 +124,13 @@ def ingest_tags(spark: SparkSession, paths: Iterable[str], dedup: bool = True) -
     for path in paths:
         part = tags_from_raw(read_raw_tsv(spark, path, RAW_TAGS_COLUMNS))
         out = part if out is None else out.unionByName(part)
-    if not dedup:
-        return out
-    first = out.groupBy("booru", "fid", "tag").agg(F.min(F.struct("tag_id", "tag_cat", "danb_fr")).alias("r"))
+    return unique_tags(out) if dedup else out
+
+
+def unique_tags(rows: DataFrame) -> DataFrame:
+    """One row per key of tags rows, as :func:`ingest_tags` says. The key holds the file, so that
+    rows chosen by file can be chosen before, while they need no more than one exchange by file."""
+    first = rows.groupBy("booru", "fid", "tag").agg(F.min(F.struct("tag_id", "tag_cat", "danb_fr")).alias("r"))
     return first.select("booru", "fid", "tag", "r.*")
 
 
